@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("licenses", "language", "packing")
+MODULES = ("licenses", "mixing", "quality", "perplexity", "packing", "language")
 
 QUERIES, SQL = {}, {}
 for _name in MODULES:
