@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("licenses", "mixing", "quality", "perplexity", "packing", "language", "repeats")
+MODULES = ("licenses", "mixing", "quality", "perplexity", "packing", "language", "repeats", "neardup")
 
 QUERIES, SQL = {}, {}
 for _name in MODULES:
