@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("licenses", "mixing", "quality", "perplexity", "packing", "language", "repeats", "neardup")
+MODULES = ("licenses", "mixing", "quality", "perplexity", "packing", "extraction", "neighbours", "language", "neardup", "repeats")
 
 QUERIES, SQL = {}, {}
 for _name in MODULES:
