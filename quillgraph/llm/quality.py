@@ -108,6 +108,11 @@ def distance(x: list[Column]) -> Column:
     return sum((y * y for y in solved[1:]), solved[0] * solved[0])
 
 
+def sent(estimates: DataFrame) -> DataFrame:
+    """Marked for sending to all tasks if there are few enough groups; beyond, the join shuffles and splits hot groups."""
+    return F.broadcast(estimates) if estimates.count() <= SENT_GROUPS else estimates
+
+
 def moments(rows: DataFrame, weight: Column | None = None) -> DataFrame:
     """Means m{i} and covariances c{i}{j} by g from sums s{i}, s{i}{j} and counts n."""
     kept = rows.groupBy("g").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(DIMENSIONS)], *[F.sum(f"s{i}{j}").alias(f"s{i}{j}") for i, j in PAIRS])
@@ -125,17 +130,17 @@ def estimate(vectors: DataFrame, coverage: float = COVERAGE, steps: int = STEPS,
     quartiles = [F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i in range(DIMENSIONS)]
     start = vectors.groupBy("g").agg(F.count("*").alias("rows"), *quartiles).where(F.col("rows") >= least_rows)
     spread = [(F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in range(DIMENSIONS)]
-    current = start.select("g", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIMENSIONS)], *[(spread[i] * spread[i] if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
+    current = common.cut(start).select("g", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIMENSIONS)], *[(spread[i] * spread[i] if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
     x = [F.col(f"x{i}") for i in range(DIMENSIONS)]
     near = chi_square_quantile(coverage)
     consistent = coverage / chi_square(near, DIMENSIONS + 2)
     for step in range(steps):
         far = F.floor(F.log(distance(x) + 1e-9) * 32)
-        bins = sums(vectors.join(factor(current, consistent if step else 1.0), "g").withColumn("bin", far), "g", "bin")
+        bins = sums(vectors.join(sent(factor(current, consistent if step else 1.0)), "g").withColumn("bin", far), "g", "bin")
         nearest = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         within = bins.withColumn("nearer", F.coalesce(F.sum("n").over(nearest), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
         current = common.cut(moments(within.where(F.col("nearer") < coverage * F.col("all"))))
-    weighted = vectors.join(factor(current, consistent), "g").where(distance(x) <= chi_square_quantile(0.975))
+    weighted = vectors.join(sent(factor(current, consistent)), "g").where(distance(x) <= chi_square_quantile(0.975))
     return common.cut(factor(moments(sums(weighted, "g"))))
 
 
@@ -152,8 +157,7 @@ def vectors(stats: DataFrame) -> DataFrame:
 
 def judge(stats: DataFrame, estimates: DataFrame, tail: float = TAIL) -> DataFrame:
     """Adds __distance (null where the group is too small to judge) and __kept to rows with __s and __g."""
-    params = estimates.withColumnRenamed("g", "__group")
-    params = F.broadcast(params) if params.count() <= SENT_GROUPS else params
+    params = sent(estimates.withColumnRenamed("g", "__group"))
     s = F.col("__s")
     rows = stats.join(params, F.col("__g") == F.col("__group"), "left").withColumn("__distance", distance(vector(s)))
     return rows.withColumn("__kept", ~base_failed(s) & F.coalesce(F.col("__distance") <= chi_square_quantile(1 - tail), F.lit(True)))
