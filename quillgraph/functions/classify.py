@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-EMPTY = F.lit("")
-
 STORE_SCHEMA = StructType(
     [StructField("provider", StringType(), False), StructField("name", StringType()), StructField("encryption_status", StringType()), StructField("encryption_class", StringType())]
     + [StructField(c, BooleanType()) for c in ("public", "versioning", "https", "access_logging")]
@@ -107,7 +105,7 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def word_count(line: Column) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(line, EMPTY), r"\s+"), lambda w: w != "")).cast("long")
+    return F.size(F.filter(F.split(F.coalesce(line, F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
 
 
 def resource_name(label: Column) -> Column:

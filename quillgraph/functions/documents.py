@@ -28,7 +28,7 @@ def path_text(document: Column, path: str) -> Column:
     """Text at a dotted path of a variant; a list is descended at its first element; '' where nothing is found."""
     steps = path.split(".")
     tries = []
-    for firsts in product(("", "[0]"), repeat=len(steps)):
+    for firsts in product(("[0]", ""), repeat=len(steps)):
         full = "$" + "".join(f"['{s}']{f}" for s, f in zip(steps, firsts, strict=True))
         tries.append(F.try_variant_get(document, full, "string"))
     return F.coalesce(*tries, F.lit(""))

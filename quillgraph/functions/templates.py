@@ -86,13 +86,14 @@ def _listing(decode: Callable[[str], Any]) -> Callable[[str], Callable[[str], An
         ranged, wrapped = _RANGE.search(program), _ITEM.search(program)
         if '"line_items"' not in program or not ranged or ranged[1] not in paths or not (wrapped or _WHOLE.search(program)):
             raise ValueError("a program of an unknown shape")
+        listed, column = paths[ranged[1]], wrapped[1] if wrapped else None
         passed = {keys[-1]: keys for name, keys in paths.items() if name != ranged[1] and f'"{keys[-1]}": {{{{ toJson ${name}' in program}
 
         def run(raw: str) -> Any:
             found = decode(raw)
-            items = index(found, *paths[ranged[1]])
+            items = index(found, *listed)
             items = items if isinstance(items, list) else [items] if isinstance(items, dict) else []
-            out = {"line_items": [{wrapped[1]: x} for x in items] if wrapped else items}
+            out = {"line_items": [{column: x} for x in items] if column else items}
             return out | {k: v for k, keys in passed.items() if (v := index(found, *keys))}
 
         return run
