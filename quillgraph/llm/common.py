@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -87,6 +87,7 @@ def shared_path(spark: SparkSession, prefix: str) -> str:
         raise ValueError(f"memory-mapped files need a mounted shared folder in spark.checkpoint.dir, not {base}")
     path = os.path.join(url.path or base, f"{prefix}-{uuid.uuid4().hex}")
     os.makedirs(path)
+    _kept(spark, f"file://{path}")
     return path
 
 
@@ -104,16 +105,41 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write the rows as a table in the shared folder and read it from there."""
+    base = checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/rows-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _kept(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_PATHS: list[str] = []
+
+
+def _kept(spark: SparkSession, path: str) -> None:
+    """Results are lazy, so written tables stay for the life of the driver and go at its end."""
+    if not _PATHS:
+        atexit.register(_drop)
+    _PATHS.append(path)
+
+
+def _drop() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for path in _PATHS:
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session is gone; files in a scratch folder are not worth failing an exit for
+            return
 
 
 def write_whole(path: str, data: bytes | np.ndarray) -> None:
     """Write a file that appears whole or not at all, so that a task that runs twice does no harm."""
     part = f"{path}.{uuid.uuid4().hex}"
     with open(part, "wb") as out:
-        out.write(memoryview(np.ascontiguousarray(data)).cast("B") if isinstance(data, np.ndarray) else data)
+        out.write(memoryview(np.ascontiguousarray(data)).cast("B") if isinstance(data, np.ndarray) and data.size else bytes(data))
     os.replace(part, path)
 
 
@@ -122,8 +148,11 @@ def mapped(path: str, dtype: str) -> np.ndarray:
     return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
 
 
-def forget(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)
+def private(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:

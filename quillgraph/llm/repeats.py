@@ -26,9 +26,11 @@ from quillgraph.llm import common
 
 LENGTH, KMER = 400, 32
 #: Largest group of different segments that is compared in one block, bytes of a block, and windows of a range of larger groups.
-GROUP, BLOCK, RANGE = 4000, 4 << 20, 46
+GROUP, BLOCK, RANGE = 2000, 1 << 20, 46
+#: Up to so many texts, the lists of their ranges (under 200 bytes a row) are sent to all tasks instead of shuffling all texts to them.
+SENT_TEXTS = 100_000
 #: Bytes that are hashed at once; longer texts are hashed in overlapping parts.
-PART = 4 << 20
+PART = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 POSITION = np.uint64((1 << 28) - 1)
 SEGMENTS = "ah long, sh long, id long, th long, lo int, n int, off int"
@@ -140,9 +142,14 @@ def listed(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy("id", "th").agg(F.collect_list(F.struct(*columns)).alias("list"))
 
 
-def with_bytes(keyed: DataFrame, reps: DataFrame) -> DataFrame:
+def with_bytes(keyed: DataFrame, reps: DataFrame, few: bool = False) -> DataFrame:
     """(id, th, text, list) of texts that have representatives; of repeated rows with equal keys, one is enough."""
-    return keyed.join(listed(reps, "ah", "lo", "n", "off").hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "list")
+    lists = listed(reps, "ah", "lo", "n", "off")
+    if few:
+        lists = common.cut(lists)
+        texts, ranges = lists.agg(F.count("*"), F.sum(F.size("list"))).first()
+        few = texts <= SENT_TEXTS and (ranges or 0) <= 5 * SENT_TEXTS
+    return keyed.join(F.broadcast(lists) if few else lists.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "list")
 
 
 def shorter(lists: DataFrame, windows: int, length: int) -> DataFrame:
@@ -301,7 +308,15 @@ def compare(lists: DataFrame, length: int, block: int) -> DataFrame:
 
 def keyed_texts(docs: DataFrame, text: str, key: str) -> DataFrame:
     """(id, th, text): rows with equal keys have equal ids and, but for a hash collision within one id, equal texts."""
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-1).cast("long")).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
+    return docs.select(ident(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
+
+
+NO_ID = -(1 << 63)
+
+
+def ident(key: str):
+    """The id, with the smallest long for null."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, k: int = KMER, group: int = GROUP, block: int = BLOCK, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -314,7 +329,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, k: int = KMER, group: int =
         large = reps.where(F.col("k") > group)
         if large.isEmpty():
             break
-        known, reps = refine(shorter(with_bytes(keyed, large), windows, length))
+        known, reps = refine(shorter(with_bytes(keyed, large, few=True), windows, length))
         found.append(known)
         reps = common.cut(reps)
         small = small.union(reps.where(F.col("k") <= group))
@@ -348,8 +363,8 @@ def digest(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str =
     among equal ones are removed whole. Null ids stay null; an empty table gives an empty result; no other column is read.
     """
     ranges = repeated(docs, length, text=text, key=key, **bounds)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(-1).cast("long")).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
-    joined = rows.join(ranges.hint("shuffle_hash"), ["id", "th"], "left").select("doc_id", "text", "list")
+    rows = keyed_texts(docs, text, key)  # the same rows that the comparison shuffles, so Spark reuses that exchange
+    joined = rows.join(ranges.hint("shuffle_hash"), ["id", "th"], "left").select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "text", "list")
 
     def work(batches):
         for batch in batches:
@@ -367,8 +382,9 @@ def digest(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str =
 def remove(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", **bounds) -> DataFrame:
     """`docs` with the repeated bytes cut out of `text`; characters that are cut through go whole. Other columns stay as they are;
     a text of which nothing is left becomes empty, a null text stays null."""
-    ranges = repeated(docs, length, text=text, key=key, **bounds).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("list").alias("__list"))
-    joined = docs.join(ranges.hint("shuffle_hash"), (F.coalesce(F.col(key).cast("long"), F.lit(-1).cast("long")) == F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__th")), "left").drop("__id", "__th")
+    i, h, found = (common.private(docs, c) for c in ("__id", "__th", "__list"))
+    ranges = repeated(docs, length, text=text, key=key, **bounds).select("id", "th", "list").toDF(i, h, found)
+    joined = docs.join(ranges.hint("shuffle_hash"), (ident(key) == F.col(i)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(h)), "left").drop(i, h)
     place = docs.columns.index(text)
 
     def work(batches):
