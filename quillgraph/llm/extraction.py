@@ -3,7 +3,7 @@
 Markup is stripped to lines, one for each block element; boilerplate elements leave gaps of empty lines. The text length of each
 window of lines is summed. Text surges where a window's sum becomes positive and dives where it falls to zero; each stretch between a surge
 and its dive is a candidate. If the page marks its article, the stretches within are the text; otherwise the stretch with the most text is, with
-every other one that has at least a given share of it and is not mostly links.
+every other one in the same element, or with at least a given share of that text. Lines that are mostly links count as empty there.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ from quillgraph.llm import common
 
 #: Lines of a window; a gap is as long, so stretches on its sides never share a window.
 WINDOW = 3
-#: Least share of the longest stretch's text, and most share of link text, in a further stretch of an unmarked page.
-SHARE, LINKS = 0.35, 0.5
+#: Of an unmarked page: least share of the longest stretch's text in a stretch elsewhere, and most share of link text in a line.
+SHARE, LINKS = 0.35, 0.6
 
 # Fixed values of the HTML standard: elements by their role.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math", "object", "canvas", "audio", "video")
+HOLDERS = frozenset("body div section article main td center".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button select head fieldset label".split())
 #: Closed by the start of another of the same kind.
 SELF_CLOSING = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
@@ -62,13 +63,14 @@ def role_of(name: str, rest: str) -> int:
 
 
 class Page:
-    """Lines of a page: text pieces, whether inside a marked article, and the length of link text."""
+    """Lines of a page: text, whether inside a marked article, length of link text, and number of the enclosing element."""
 
     def __init__(self, source: str):
-        self.lines: list[tuple[str, bool, int]] = []
+        self.lines: list[tuple[str, bool, int, int]] = []
         self.piece: list[str] = []
         self.linked = 0
-        self.open: list[tuple[str, int]] = []
+        self.open: list[tuple[str, int, int]] = []
+        self.opened = 0
         self.bad = self.good = 0
         at, end = 0, len(source)
         while at < end:
@@ -93,18 +95,18 @@ class Page:
     def text(self, raw: str) -> None:
         if raw and not self.bad:
             self.piece.append(raw)
-            if any(name == "a" for name, _ in self.open):
+            if any(name == "a" for name, _, _ in self.open):
                 self.linked += len(raw)
 
     def line(self) -> None:
         if self.piece:
             words = " ".join(html.unescape("".join(self.piece)).split())
-            self.lines.append((words, self.good > 0, self.linked))
+            self.lines.append((words, self.good > 0, self.linked, next((k for name, _, k in reversed(self.open) if name in HOLDERS), 0)))
             self.piece, self.linked = [], 0
 
     def gap(self) -> None:
         self.line()
-        self.lines += [("", False, 0)] * WINDOW
+        self.lines += [("", False, 0, -1)] * WINDOW
 
     def start(self, name: str, rest: str) -> None:
         if name == "br" or name == "wbr":
@@ -116,22 +118,23 @@ class Page:
             return
         if name in SELF_CLOSING and self.open and self.open[-1][0] in SELF_CLOSING[name].split():
             self.close(self.open[-1][0])
-        elif name in BLOCKS and any(n == "p" for n, _ in self.open[-4:]):
+        elif name in BLOCKS and any(n == "p" for n, _, _ in self.open[-4:]):
             self.close("p")
         role = role_of(name, rest)
         if role:
             self.gap()
         self.bad += role < 0
         self.good += role > 0
-        self.open.append((name, role))
+        self.opened += 1
+        self.open.append((name, role, self.opened))
 
     def close(self, name: str) -> None:
         if name in BLOCKS:
             self.line()
-        if not any(n == name for n, _ in self.open):
+        if not any(n == name for n, _, _ in self.open):
             return
         while self.open:
-            last, role = self.open.pop()
+            last, role, _ = self.open.pop()
             if role:
                 self.gap()
             self.bad -= role < 0
@@ -155,12 +158,13 @@ def main_text(source: str | None, window: int = WINDOW, share: float = SHARE, li
     lines = Page(source).lines
     if not lines:
         return ""
-    marked = any(good and words for words, good, _ in lines)
-    lengths = np.array([len(words) * (good or not marked) for words, good, _ in lines])
+    marked = any(good and words for words, good, _, _ in lines)
+    lengths = np.array([len(words) * (good if marked else linked <= links * len(words)) for words, good, linked, _ in lines])
     found = [(a, b, int(lengths[a:b].sum())) for a, b in stretches(lengths, window)]
     if not marked and found:
-        most = max(n for _, _, n in found)
-        found = [(a, b, n) for a, b, n in found if n == most or n >= share * most and sum(lines[i][2] for i in range(a, b)) <= links * n]
+        low, high, most = max(found, key=lambda x: x[2])
+        inside = {lines[i][3] for i in range(low, high) if lengths[i]}
+        found = [(a, b, n) for a, b, n in found if n >= share * most or any(lines[i][3] in inside for i in range(a, b) if lengths[i])]
     return "\n".join(lines[i][0] for a, b, _ in found for i in range(a, b) if lengths[i])
 
 

@@ -22,18 +22,17 @@ CONTEXTS = 40_000
 
 
 class Trees:
-    """Code length tables of all languages. Bytes are numbered by an alphabet of those seen in training; 0 stands for the rest."""
+    """Code length tables of all languages. Bytes are numbered by those seen in training; 0 stands before a text, the last number for other bytes."""
 
     def __init__(self, samples: dict[str, list[bytes]], contexts: int = CONTEXTS):
         self.languages = sorted(samples)
-        joined = {lang: b"\0\0\0" + b"\0\0\0".join(texts) for lang, texts in samples.items()}
         seen = np.zeros(256, bool)
-        for data in joined.values():
-            seen[np.frombuffer(data, np.uint8)] = True
-        seen[0] = False
-        self.rank = np.where(seen, np.cumsum(seen), 0).astype(np.int32)
-        self.width = a = int(seen.sum()) + 1
-        coded = {lang: self.rank[np.frombuffer(joined[lang], np.uint8)].astype(np.int64) for lang in self.languages}
+        for texts in samples.values():
+            for text in texts:
+                seen[np.frombuffer(text, np.uint8)] = True
+        self.width = a = int(seen.sum()) + 2
+        self.rank = np.where(seen, np.cumsum(seen), a - 1).astype(np.int64)
+        coded = {lang: np.concatenate([np.concatenate([np.zeros(3, np.int64), self.rank[np.frombuffer(t, np.uint8)]]) for t in texts]) for lang, texts in samples.items()}
         triples = np.zeros(a**3, np.int64)
         for x in coded.values():
             triples += np.bincount((x[:-3] * a + x[1:-2]) * a + x[2:-1], minlength=a**3)
@@ -57,9 +56,9 @@ class Trees:
 
     @staticmethod
     def extend(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Code lengths in contexts with these counts, given those in the contexts one byte shorter. Symbol 0 is never learned."""
+        """Code lengths in contexts with these counts, given those in the contexts one byte shorter. What is no byte of a text is not learned."""
         counts = counts.astype(np.float64)
-        counts[:, 0] = 0
+        counts[:, 0] = counts[:, -1] = 0
         n, d = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
         with np.errstate(divide="ignore", invalid="ignore"):
             escaped = np.where(n > 0, shorter - np.log2(d / (n + d)), shorter)
@@ -67,7 +66,7 @@ class Trees:
 
     def lengths(self, text: bytes, chunk: int = 1 << 18) -> np.ndarray:
         """Bits that each language's tree needs for the whole text."""
-        x = np.concatenate([np.zeros(3, np.int32), self.rank[np.frombuffer(text, np.uint8)]]).astype(np.int64)
+        x = np.concatenate([np.zeros(3, np.int64), self.rank[np.frombuffer(text, np.uint8)]])
         a, total = self.width, np.zeros(len(self.languages))
         for low in range(0, len(text), chunk):
             part = x[low : low + chunk + 3]

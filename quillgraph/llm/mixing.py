@@ -61,13 +61,14 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     alike; an empty table gives an empty result. Columns of any name stay as they are (a column `mix` is replaced).
     """
     with_size = docs.withColumn("mix", size_of(F.col(text)))
-    table = common.cut(targets(docs.select(F.col(source).alias("source"), size_of(F.col(text)).alias("size")), weights, share, repeats)).select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    own, total, aim = (common.private(docs, c) for c in ("__source", "__source_size", "__target"))
+    table = common.cut(targets(docs.select(F.col(source).alias("source"), size_of(F.col(text)).alias("size")), weights, share, repeats)).toDF(own, total, aim)
     small = table.count() <= SENT_SOURCES
-    joined = with_size.join(F.broadcast(table) if small else table, F.col(source).eqNullSafe(F.col("__source")))
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
+    joined = with_size.join(F.broadcast(table) if small else table, F.col(source).eqNullSafe(F.col(own)))
+    rate = F.when(F.col(total) > 0, F.col(aim) / F.col(total)).otherwise(0.0)
     copies = F.floor(rate) + F.when(draw(F.col(key), F.col("mix"), seed) < rate - F.floor(rate), 1).otherwise(0)
     columns = [F.col(f"`{c}`") for c in docs.columns if c != "mix"]
-    return joined.select(*columns, F.struct(F.col("mix").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies")).alias("mix"))
+    return joined.select(*columns, F.struct(F.col("mix").alias("size"), F.col(total).alias("source_size"), F.col(aim).alias("target"), copies.alias("copies")).alias("mix"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

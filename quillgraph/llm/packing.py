@@ -121,26 +121,27 @@ def _better(into: list[int], out_of: list[int], lengths: list[int], gap: int) ->
     return found
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, width: int = 48, rounds: int = 400) -> list[list[int]]:
-    """Local search over the emptiest bins: each accepted exchange fills the fuller bin further, which raises the
-    sum of squared fills (an integer with an upper bound, so it ends); an emptied bin is dropped. A round empties a bin or ends the search."""
+def improve(bins: list[list[int]], lengths: list[int], capacity: int, width: int = 32, rounds: int = 50) -> list[list[int]]:
+    """Local search over the `width` emptiest bins, from the emptiest on: each accepted exchange fills the fuller bin of a pair further,
+    which raises the sum of squared fills (an integer with an upper bound, so it ends); emptied bins are dropped. It ends early
+    where even perfect exchanges could empty no bin, or where no pair of bins allows one."""
     fill = [sum(lengths[i] for i in b) for b in bins]
     for _ in range(rounds):
         under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))[:width]
         if len(under) < 2 or sum(fill[b] for b in under) > capacity * (len(under) - 1):
-            break  # even perfect exchanges among them cannot empty a bin
-        source, before = under[0], fill[under[0]]
-        for target in sorted(under[1:], key=lambda b: (-fill[b], b)):
-            while bins[source] and fill[target] < capacity and (change := _better(bins[target], bins[source], lengths, capacity - fill[target])):
-                give, take = change
-                gain = sum(lengths[i] for i in take) - sum(lengths[i] for i in give)
-                bins[target] = [i for i in bins[target] if i not in give] + take
-                bins[source] = [i for i in bins[source] if i not in take] + give
-                fill[target] += gain
-                fill[source] -= gain
-            if not bins[source]:
-                break
-        if fill[source] == before:
+            break
+        changed = False
+        for source in under:
+            for target in sorted(under, key=lambda b: (-fill[b], b)):
+                while bins[source] and source != target and fill[source] <= fill[target] < capacity and (change := _better(bins[target], bins[source], lengths, capacity - fill[target])):
+                    give, take = change
+                    gain = sum(lengths[i] for i in take) - sum(lengths[i] for i in give)
+                    bins[target] = [i for i in bins[target] if i not in give] + take
+                    bins[source] = [i for i in bins[source] if i not in take] + give
+                    fill[target] += gain
+                    fill[source] -= gain
+                    changed = True
+        if not changed:
             break
     return [b for b in bins if b]
 

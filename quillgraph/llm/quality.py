@@ -26,7 +26,7 @@ FLOORS = (0.35, 0.45, 0.12, 0.45)
 #: Up to so many groups, the table of estimates (under 300 bytes a row) is sent to all tasks; beyond, it is joined by shuffle.
 SENT_GROUPS = 10_000
 
-SPACE = r" \t\n\u000B\f\r"
+SPACE = r" \t\n\u000B\u000C\r"
 REPEATED = """
 element_at(transform(array(transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))), h ->
   if(size(array_distinct(h)) = size(h), 0,
@@ -45,9 +45,9 @@ STATISTICS = {
 
 
 def statistics(text: str = "text") -> Column:
-    """A struct of the five statistics (long) of a whole text; all 0 for null."""
+    """A struct of the five statistics (long) of a whole text, given as an SQL expression; all 0 for null."""
     inner = ", ".join(f"'{name}', cast({rule} as bigint)" for name, rule in STATISTICS.items())
-    bound = f"element_at(transform(array(coalesce(`{text}`, '')), t -> element_at(transform(array(filter(split(t, '[ \\\\t-\\\\r]+'), x -> x <> '')), w -> named_struct({inner})), 1)), 1)"
+    bound = f"element_at(transform(array(coalesce({text}, '')), t -> element_at(transform(array(filter(split(t, '[ \\\\t-\\\\r]+'), x -> x <> '')), w -> named_struct({inner})), 1)), 1)"
     return F.expr(bound)
 
 
@@ -68,7 +68,7 @@ def vector(s: Column) -> list[Column]:
 
 def group_key(lang: str, source: str) -> Column:
     """A non-null string for each pair, null values included."""
-    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("?"))
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.expr(c)), F.lit("?"))
     return F.concat(part(lang), F.lit("\u0001"), part(source))
 
 
@@ -163,14 +163,16 @@ def judge(stats: DataFrame, estimates: DataFrame, tail: float = TAIL) -> DataFra
     return rows.withColumn("__kept", ~base_failed(s) & F.coalesce(F.col("__distance") <= chi_square_quantile(1 - tail), F.lit(True)))
 
 
-def keep_good(docs: DataFrame, **limits) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", **limits) -> DataFrame:
     """The rows of `docs` that pass, with their columns as they are.
 
     Null and empty texts have no words and are rejected. A null language or source is a value of its own. Groups under the least
     number of rows have only the plain limits. Repeated rows are judged alike; an empty table gives an empty result.
     """
-    fitted = estimate(vectors(common.cut(with_statistics(docs.select("text", "lang", "source")).select("__s", "__g"))), **limits)
-    return judge(with_statistics(docs), fitted).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    stats = with_statistics(own, *[f"row.`{c}`" for c in (text, lang, source)])
+    fitted = estimate(vectors(common.cut(stats.select("__s", "__g"))), **limits)
+    return judge(stats, fitted).where("__kept").select("row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
