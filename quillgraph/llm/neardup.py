@@ -260,15 +260,16 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """`docs` without all but one document of each class (the one with the smallest id, then text hash); columns stay as they are."""
     text, key = options.get("text", "text"), options.get("key", "doc_id")
     members, nodes = grouped(docs, **options)
-    lost = members.join(nodes.select("node", "root_rep"), "node").where("struct(id, th) <> root_rep").select(F.col("id").alias("__id"), F.col("th").alias("__th"))
+    i, h = common.private(docs, "__id"), common.private(docs, "__th")
+    lost = members.join(nodes.select("node", "root_rep"), "node").where("struct(id, th) <> root_rep").select("id", "th").toDF(i, h)
     ident, hashed = F.coalesce(F.col(key).cast("long"), F.lit(1 << 62)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    kept = docs.join(lost.hint("shuffle_hash"), (ident == F.col("__id")) & (hashed == F.col("__th")), "left_anti")
-    repeated = members.where("times > 1").select(F.col("id").alias("__id"), F.col("th").alias("__th"))
+    kept = docs.join(lost.hint("shuffle_hash"), (ident == F.col(i)) & (hashed == F.col(h)), "left_anti")
+    repeated = members.where("times > 1").select("id", "th").toDF(i, h)
     if repeated.isEmpty():
         return kept
-    matches = (ident == F.col("__id")) & (hashed == F.col("__th"))
+    matches = (ident == F.col(i)) & (hashed == F.col(h))
     once = kept.join(repeated, matches, "left_anti")
-    again = kept.join(repeated, matches, "left_semi").withColumn("__id", ident).withColumn("__th", hashed).dropDuplicates(["__id", "__th"]).drop("__id", "__th")
+    again = kept.join(repeated, matches, "left_semi").withColumn(i, ident).withColumn(h, hashed).dropDuplicates([i, h]).drop(i, h)
     return once.union(again)
 
 

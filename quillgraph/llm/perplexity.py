@@ -263,7 +263,7 @@ class Model:
         seen = self._values(keys, cuts, "u", "n", "i8")
         after = self._values(keys, cuts, "v", "n", "i8")
         d = self.word_discounts
-        lower = self.word_backoff / (self.distinct + 1) + (np.maximum(after - d[np.minimum(after, 3)], 0) / self.followed if self.followed else 0.0)
+        lower = self.word_backoff / (self.distinct + 1) + np.maximum(after - d[np.minimum(after, 3)], 0) / max(self.followed, 1)
         base = np.log10((seen + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))[back]
         distinct, place = np.unique(before, return_inverse=True)
         total, once, twice, more = self._figures(distinct).T.astype(np.float64)
