@@ -83,7 +83,10 @@ def _folder(df: DataFrame) -> None:
 
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def descend(roots: DataFrame, children: DataFrame, bind: tuple[str, str], key: str, carry: Sequence[str] = (), policy: Policy | None = None) -> Fixpoint:

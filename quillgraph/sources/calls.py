@@ -60,7 +60,7 @@ class Call:
     require_ok: bool = False
     retry: RetryPolicy | None = None
     per_host: int = PER_HOST
-    recorded: str | None = None  # a table of responses instead of the network
+    recorded: str | None = None  # responses instead of the network: JSON lines, or the path of some
     verify: bool = True
     timeout: float = 60.0
 
@@ -133,14 +133,16 @@ def http_transport(timeout: float = 60.0, verify: bool = True) -> Transport:
     return send
 
 
-def recorded_transport(path: str) -> Transport:
-    """Responses from JSON lines (method, url[, body], status, raw); an unknown request is 404. A request that is recorded
+def recorded_transport(source: str) -> Transport:
+    """Responses from JSON lines (method, url[, body], status, raw), given as text or as a path; an unknown request is 404. A request that is recorded
     several times gets its responses in order, and then the last one again. Small files of fixtures, read once a worker."""
     found: dict[tuple[str, str], list[dict]] = {}
-    with open(path, encoding="utf-8") as lines:
-        for line in lines:
-            r = json.loads(line)
-            found.setdefault((r.get("method", "GET"), r["url"]), []).append(r)
+    if not source.lstrip().startswith("{"):
+        with open(source, encoding="utf-8") as f:
+            source = f.read()
+    for line in source.splitlines():
+        r = json.loads(line)
+        found.setdefault((r.get("method", "GET"), r["url"]), []).append(r)
 
     def send(request: Request) -> Response:
         rows = found.get((request.method, request.url), [])
