@@ -6,9 +6,6 @@ return the columns of documents, with n_chars following the text.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +52,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to documents. Between stages, rows are written below the checkpoint folder of the session."""
     docs = common.table(spark, sf_dir, "documents")
-    folder = f"{common.checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = common.scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        path = os.path.join(folder, name)
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -81,14 +81,11 @@ def shared_path(spark: SparkSession, prefix: str) -> str:
     Where the setting is absent (tests, local mode) a temporary folder is set as checkpoint directory.
     Memory mapping needs a mounted file system, so another scheme than `file` is an error and not a silent local copy.
     """
-    base = checkpoint_dir(spark)
-    url = urlparse(base)
+    url = urlparse(scratch(spark, prefix))
     if url.scheme not in ("", "file"):
-        raise ValueError(f"memory-mapped files need a mounted shared folder in spark.checkpoint.dir, not {base}")
-    path = os.path.join(url.path or base, f"{prefix}-{uuid.uuid4().hex}")
-    os.makedirs(path)
-    _kept(spark, f"file://{path}")
-    return path
+        raise ValueError(f"memory-mapped files need a mounted shared folder in spark.checkpoint.dir, not {url.geturl()}")
+    os.makedirs(url.path)
+    return url.path
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -98,6 +95,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jsc.isDefined():
             return jsc.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(base)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -106,21 +105,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as a table in the shared folder and read it from there."""
-    base = checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/rows-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "rows")
     df.write.option("compression", "zstd").parquet(path)
-    _kept(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _PATHS: list[str] = []
 
 
-def _kept(spark: SparkSession, path: str) -> None:
-    """Results are lazy, so written tables stay for the life of the driver and go at its end."""
+def scratch(spark: SparkSession, prefix: str) -> str:
+    """A new path in the shared folder. Results are lazy, so what is written there stays for the life of the driver and goes at its end."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
     if not _PATHS:
         atexit.register(_drop)
     _PATHS.append(path)
+    return path
 
 
 def _drop() -> None:
