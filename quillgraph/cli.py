@@ -33,6 +33,14 @@ def main(argv: list[str] | None = None, out=sys.stdout, spark=None) -> int:
     docs = verbs.add_parser("documents")
     docs.add_argument("folder")
     docs.add_argument("address", nargs="?")
+    doc = verbs.add_parser("document-run")
+    doc.add_argument("folder")
+    doc.add_argument("address")
+    doc.add_argument("--args", default="{}", help="JSON object of parameters")
+    doc.add_argument("--schema", required=True, help="columns and types of the rows")
+    doc.add_argument("--base", help="another address instead of the document's server")
+    doc.add_argument("--recorded", help="recorded responses instead of the network")
+    doc.add_argument("--paginate", action="store_true")
     a = parser.parse_args(argv)
     catalog = Catalog()
     say = lambda row: print(json.dumps(row, ensure_ascii=False), file=out)
@@ -53,6 +61,12 @@ def main(argv: list[str] | None = None, out=sys.stdout, spark=None) -> int:
             for address in [a.address] if a.address else bundle.providers():
                 for m in bundle.methods(address):
                     say({"address": m.address, "http": m.http, "path": m.path, "required": m.required})
+        elif a.verb == "document-run":
+            from quillgraph.sources.bundle import run as run_document
+
+            rows = run_document(spark or session(), a.folder, a.address, json.loads(a.args), a.schema, a.base, paginate=a.paginate, recorded=a.recorded)
+            for row in cursor(rows):
+                say(row)
         else:
             spark = spark or session()
             group = "run"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 from urllib.parse import urljoin
 
@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import documents, templates
+from quillgraph.operators.project import echo_inputs
 from quillgraph.plans.graph import PlanError
-from quillgraph.sources.calls import Call, Continuation
+from quillgraph.sources.calls import Call, Continuation, read_call
 
 
 def unescape(part: str) -> str:
@@ -194,3 +195,10 @@ def item_rows(responses: DataFrame, method: Method, schema: str) -> DataFrame:
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in StructType.fromDDL(schema))
     return responses.select("raw").mapInArrow(work, "item string").select(F.from_json("item", ddl).alias("r")).select("r.*")
+
+
+def run(spark: SparkSession, folder: str, address: str, given: Mapping[str, str], schema: str, base: str | None = None, headers: Mapping[str, str] | None = None, paginate: bool = False, recorded: str | None = None) -> DataFrame:
+    """Rows of an address: the method that fits the parameters, its calls, its program and items, and the parameters as columns."""
+    method = choose(Bundle(folder).methods(address), given)
+    call = replace(compile_call(method, given, base, headers, paginate), recorded=recorded)
+    return echo_inputs(item_rows(read_call(spark, call), method, schema), {n: given.get(n) for n in method.params})

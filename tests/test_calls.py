@@ -202,6 +202,9 @@ def test_bundle(documents, spark):
     responses = spark.createDataFrame([("200", "u", '{"Urls": ["a", "b"]}')], "status string, url string, raw string")
     assert sorted(r[0] for r in bundle.item_rows(responses, methods[0], "url string").collect()) == ["a", "b"]
     assert b.listing(spark, "cloud").count() == 2
+    pages = [{"url": f"http://eu.host/list/o?q=1{more}", "status": 200, "raw": raw} for more, raw in (("", '{"Urls": ["a"], "Next": "t"}'), ("&next=t", '{"Urls": ["b"]}'))]
+    ran = bundle.run(spark, documents, "cloud.mq.queues", {"org": "o", "q": "1"}, "url string", paginate=True, recorded="\n".join(map(json.dumps, pages)))
+    assert sorted((r["url"], r["org"], r["q"], r["region"]) for r in ran.collect()) == [("a", "o", "1", None), ("b", "o", "1", None)]
     for address in ("zz.x", "cloud.gone.x", "cloud.zz"):
         with pytest.raises(PlanError):
             b.methods(address)
