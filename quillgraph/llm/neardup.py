@@ -21,6 +21,8 @@ from quillgraph.llm.components import components
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Most hash functions, and bounds of a block: nodes, and n-grams in all their sets.
 HASHES, BLOCK_NODES, BLOCK_GRAMS = 200, 1024, 1_000_000
+#: Up to so many rows, tables about components that are cut into blocks (under 60 bytes a row) are sent to all tasks.
+SENT_ROWS = 20_000
 #: N-grams hashed at once.
 CHUNK = 1 << 15
 
@@ -150,25 +152,33 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def sent(table: DataFrame) -> DataFrame:
+    """A written table, marked for sending to all tasks if it is small; beyond, the join shuffles, and splits hot keys."""
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+
+
 def assign(nodes: DataFrame, ties: DataFrame, threshold: float, block_nodes: int, block_grams: int) -> DataFrame:
     """(node, task, side, whole): in which tasks a candidate node is verified. `whole` tasks hold a whole component."""
     placed = common.cut(components(ties).join(nodes.select("node", "grams"), "node"))
     placed = placed.withColumn("size", F.floor(F.log(F.col("grams").cast("double")) / math.log(1 / threshold)))
     sizes = placed.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("grams").alias("total"))
-    whole = (F.col("nodes") <= block_nodes) & (F.col("total") <= block_grams)
-    flagged = placed.join(sizes.select("root", whole.alias("whole")), "root")
-    single = flagged.where("whole").select("node", F.xxhash64("root").alias("task"), F.lit(0).alias("side"), "whole")
-    cut_up = flagged.where("not whole")
+    cut_roots = common.cut(sizes.where((F.col("nodes") > block_nodes) | (F.col("total") > block_grams)).select("root", F.lit(True).alias("cut")))
+    flagged = placed.join(sent(cut_roots), "root", "left")
+    single = flagged.where("cut is null").select("node", F.xxhash64("root").alias("task"), F.lit(0).alias("side"), F.lit(True).alias("whole"))
+    if cut_roots.isEmpty():
+        return single
+    cut_up = flagged.where("cut").drop("cut")
     counts = cut_up.groupBy("root", "size").agg(F.count("*").alias("nodes"), F.sum("grams").alias("total"))
-    parts = counts.select("root", "size", F.greatest(F.ceil(F.col("nodes") / block_nodes), F.ceil(F.col("total") / block_grams)).cast("int").alias("parts"))
+    parts = common.cut(counts.select("root", "size", F.greatest(F.ceil(F.col("nodes") / block_nodes), F.ceil(F.col("total") / block_grams)).cast("int").alias("parts")))
     blocks = parts.select("root", "size", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     other = blocks.select("root", F.col("size").alias("size2"), F.col("part").alias("part2"))
     pairs = blocks.join(other, "root").where("(size = size2 and part <= part2) or size + 1 = size2")
     ends = pairs.select("root", "size", "part", F.xxhash64("root", "size", "part", "size2", "part2").alias("task"), F.when(F.expr("size = size2 and part = part2"), 0).otherwise(1).alias("side")).union(
         pairs.where("not (size = size2 and part = part2)").select("root", F.col("size2").alias("size"), F.col("part2").alias("part"), F.xxhash64("root", "size", "part", "size2", "part2").alias("task"), F.lit(2).alias("side"))
     )
-    dealt = cut_up.join(parts, ["root", "size"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    return single.union(dealt.join(ends, ["root", "size", "part"]).select("node", "task", "side", "whole"))
+    dealt = cut_up.join(sent(parts), ["root", "size"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    ends = common.cut(ends)
+    return single.union(dealt.join(sent(ends), ["root", "size", "part"]).select("node", "task", "side", F.lit(False).alias("whole")))
 
 
 def links(keyed: DataFrame, nodes: DataFrame, tasks: DataFrame, words: int, threshold: float) -> DataFrame:
