@@ -1,6 +1,7 @@
 """Quality rules: plain limits, then robust multivariate outliers by language and source.
 
-Statistics of whole texts are turned into a vector of four transformed figures. For each language and source, concentration
+Statistics of whole texts are turned into a vector of four transformed figures. For each language and source, or for the whole
+language or all rows where that has too few rows for an estimate of its own, concentration
 steps towards the minimum covariance determinant are run: keep the `coverage` share of vectors nearest to the current centre by
 Mahalanobis distance, re-estimate, repeat; a reweighting step ends it. Distances are ranked by narrow logarithmic bins, and the sums of
 a bin suffice for the next estimate, so a group of any size costs a bounded number of rows after map-side aggregation.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import common
 
 DIMENSIONS = 4
-#: Share of the vectors that a concentration step keeps, number of steps, and least rows of a group that is judged.
+#: Share of the vectors that a concentration step keeps, number of steps, and least rows of a group with an estimate of its own.
 COVERAGE, STEPS, LEAST_ROWS = 0.75, 3, 40
 #: Tail probability beyond which a vector is rejected.
 TAIL = 1e-6
@@ -125,10 +126,10 @@ def sums(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(DIMENSIONS)], *[F.sum(x[i] * x[j]).alias(f"s{i}{j}") for i, j in PAIRS])
 
 
-def estimate(vectors: DataFrame, coverage: float = COVERAGE, steps: int = STEPS, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """A row with centre and Cholesky factor for each group g of (g, x0..x3) with at least `least_rows` rows."""
+def estimate(vectors: DataFrame, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
+    """A row with centre and Cholesky factor for each group g of (g, x0..x3)."""
     quartiles = [F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i in range(DIMENSIONS)]
-    start = vectors.groupBy("g").agg(F.count("*").alias("rows"), *quartiles).where(F.col("rows") >= least_rows)
+    start = vectors.groupBy("g").agg(*quartiles)
     spread = [(F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in range(DIMENSIONS)]
     current = common.cut(start).select("g", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIMENSIONS)], *[(spread[i] * spread[i] if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
     x = [F.col(f"x{i}") for i in range(DIMENSIONS)]
@@ -155,30 +156,55 @@ def vectors(stats: DataFrame) -> DataFrame:
     return stats.where(~base_failed(s)).select(F.col("__g").alias("g"), *[v.alias(f"x{i}") for i, v in enumerate(vector(s))])
 
 
+def language_key(g: str) -> Column:
+    """The part of a group key that stands for its language; no group key lacks the separator, so it is never one itself."""
+    return F.substring_index(g, "\u0001", 1)
+
+
+def scopes(stats: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """(g, scope) for each group g of rows with __s and __g: the key of the narrowest of the group, its language and all rows (an
+    empty key) that has at least `least_rows` vectors. All rows serve whatever their number."""
+    groups = common.cut(stats.groupBy(F.col("__g").alias("g")).agg(F.count_if(~base_failed(F.col("__s"))).alias("n")).withColumn("language", language_key("g")))
+    languages = groups.groupBy("language").agg(F.sum("n").alias("all"))
+    scope = F.when(F.col("n") >= least_rows, F.col("g")).when(F.col("all") >= least_rows, F.col("language")).otherwise("")
+    return common.cut(groups.join(sent(languages), "language").select("g", scope.alias("scope")))
+
+
+def fit(stats: DataFrame, least_rows: int = LEAST_ROWS, **limits) -> DataFrame:
+    """The estimate for every group g of rows with __s and __g: its own, or that of the scope it falls to."""
+    scope = scopes(stats, least_rows)
+    needed = scope.select(F.col("scope").alias("g")).distinct()
+    rows = vectors(stats)
+    if not scope.where("g <> scope").isEmpty():
+        rows = rows.withColumn("g", F.explode(F.array(F.col("g"), language_key("g"), F.lit(""))))
+        rows = rows.join(sent(needed), "g", "left_semi")
+    return scope.join(sent(estimate(rows, **limits).withColumnRenamed("g", "scope")), "scope").drop("scope")
+
+
 def judge(stats: DataFrame, estimates: DataFrame, tail: float = TAIL) -> DataFrame:
-    """Adds __distance (null where the group is too small to judge) and __kept to rows with __s and __g."""
+    """Adds __distance (null only if no row at all passes the plain limits) and __kept to rows with __s and __g."""
     params = sent(estimates.withColumnRenamed("g", "__group"))
     s = F.col("__s")
     rows = stats.join(params, F.col("__g") == F.col("__group"), "left").withColumn("__distance", distance(vector(s)))
-    return rows.withColumn("__kept", ~base_failed(s) & F.coalesce(F.col("__distance") <= chi_square_quantile(1 - tail), F.lit(True)))
+    return rows.withColumn("__kept", ~base_failed(s) & F.coalesce(F.col("__distance") <= chi_square_quantile(1 - tail), F.lit(False)))
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", **limits) -> DataFrame:
     """The rows of `docs` that pass, with their columns as they are.
 
     Null and empty texts have no words and are rejected. A null language or source is a value of its own. Groups under the least
-    number of rows have only the plain limits. Repeated rows are judged alike; an empty table gives an empty result.
+    number of rows are judged by their language, or by all rows if that is small too. Repeated rows are judged alike; an empty table gives an empty result.
     """
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     stats = with_statistics(own, *[f"row.`{c}`" for c in (text, lang, source)])
-    fitted = estimate(vectors(common.cut(stats.select("__s", "__g"))), **limits)
+    fitted = fit(common.cut(stats.select("__s", "__g")), **limits)
     return judge(stats, fitted).where("__kept").select("row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     stats = common.cut(with_statistics(docs).select("doc_id", "__s", "__g"))
-    judged = judge(stats, estimate(vectors(stats)))
+    judged = judge(stats, fit(stats))
     return judged.select("doc_id", "__s.*", base_failed(F.col("__s")).alias("base_failed"), F.col("__kept").alias("kept"), F.col("__distance").alias("distance"))
 
 

@@ -135,6 +135,19 @@ def test_outliers(spark):
     assert {r["doc_id"] for r in quality.keep_good(df).collect()} == set(range(300))
 
 
+def test_small_groups_are_judged_by_a_wider_one(spark):
+    """60 sources of 4 rows, a language of 3 rows and one of 1: every row has a distance, and junk is found in each."""
+    rnd = random.Random(18)
+    junk = lambda: " ".join("#$%|" * 3 + w for w in prose(rnd, 80).split())
+    rows = [(k, prose(rnd, rnd.randint(60, 200)), "en", f"s{k % 60}") for k in range(240)]
+    rows += [(1000 + k, junk(), "en", f"s{k}") for k in range(10)] + [(1010, junk(), "xx", "a"), (1011, junk(), None, None), (1012, "few words", "yy", "b")]
+    rows += [(240 + k, prose(rnd, 90), "xx", "a") for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    stats = quality.with_statistics(df)
+    assert quality.judge(stats, quality.fit(stats)).where("__distance is null").count() == 0
+    assert {r["doc_id"] for r in quality.keep_good(df).collect()} == set(range(242))
+
+
 def test_estimate_is_a_concentration_step(spark):
     """Centre and scatter of clean, correlated vectors with a third of gross outliers are those of the clean ones."""
     rng = np.random.default_rng(9)
