@@ -5,6 +5,8 @@ language or all rows where that has too few rows for an estimate of its own, con
 steps towards the minimum covariance determinant are run: keep the `coverage` share of vectors nearest to the current centre by
 Mahalanobis distance, re-estimate, repeat; a reweighting step ends it. Distances are ranked by narrow logarithmic bins, and the sums of
 a bin suffice for the next estimate, so a group of any size costs a bounded number of rows after map-side aggregation.
+The figures are mostly 0 in clean text, so distances do not follow chi-square and no fixed tail fits: rows are rejected beyond the place
+where distances are least dense, between a wide and a narrow tail.
 Everything is built from DataFrame and SQL functions.
 """
 
@@ -20,8 +22,10 @@ from quillgraph.llm import common
 DIMENSIONS = 4
 #: Share of the vectors that a concentration step keeps, number of steps, and least rows of a group with an estimate of its own.
 COVERAGE, STEPS, LEAST_ROWS = 0.75, 3, 40
-#: Tail probability beyond which a vector is rejected.
-TAIL = 1e-6
+#: Tail probabilities between which the cut lies: nothing nearer than the first is rejected, nothing beyond the second is kept.
+TAILS = (0.025, 1e-6)
+#: Bins of distances for each unit of their logarithm, and bins on either side that count towards the density at a place.
+FINE, AROUND = 32, 6
 #: Standard deviations below which differences of a figure do not count.
 FLOORS = (0.35, 0.45, 0.12, 0.45)
 #: Up to so many groups, the table of estimates (under 300 bytes a row) is sent to all tasks; beyond, it is joined by shuffle.
@@ -136,7 +140,7 @@ def estimate(vectors: DataFrame, coverage: float = COVERAGE, steps: int = STEPS)
     near = chi_square_quantile(coverage)
     consistent = coverage / chi_square(near, DIMENSIONS + 2)
     for step in range(steps):
-        far = F.floor(F.log(distance(x) + 1e-9) * 32)
+        far = bin_of(distance(x))
         bins = sums(vectors.join(sent(factor(current, consistent if step else 1.0)), "g").withColumn("bin", far), "g", "bin")
         nearest = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         within = bins.withColumn("nearer", F.coalesce(F.sum("n").over(nearest), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
@@ -181,12 +185,35 @@ def fit(stats: DataFrame, least_rows: int = LEAST_ROWS, **limits) -> DataFrame:
     return scope.join(sent(estimate(rows, **limits).withColumnRenamed("g", "scope")), "scope").drop("scope")
 
 
-def judge(stats: DataFrame, estimates: DataFrame, tail: float = TAIL) -> DataFrame:
+def bin_of(x: Column) -> Column:
+    return F.floor(F.log(x + 1e-9) * FINE)
+
+
+def least_dense(counts: dict[int, int], tails: tuple[float, float] = TAILS) -> float:
+    """The cut between `tails` where rows by bin of distance are fewest, bins around weighted by nearness; the middle one of the first
+    run of equal ones."""
+    low, high = (math.floor(math.log(chi_square_quantile(1 - t)) * FINE) for t in tails)
+    near = {k: AROUND + 1 - abs(k) for k in range(-AROUND, AROUND + 1)}
+    dense = [sum(counts.get(at + k, 0) * w for k, w in near.items()) for at in range(low, high + 1)]
+    first = dense.index(min(dense))
+    last = next((k for k in range(first, len(dense)) if dense[k] > dense[first]), len(dense)) - 1
+    return math.exp((low + (first + last + 1) / 2) / FINE)
+
+
+def cut_of(stats: DataFrame, estimates: DataFrame) -> float:
+    """The cut for rows with __s and __g, from the counts of a bounded number of bins."""
+    rows = vectors(stats).join(sent(estimates), "g").select(distance([F.col(f"x{i}") for i in range(DIMENSIONS)]).alias("d"))
+    low, high = (chi_square_quantile(1 - t) for t in TAILS)
+    around = math.exp((AROUND + 1) / FINE)
+    return least_dense(dict(rows.where(F.col("d").between(low / around, high * around)).groupBy(bin_of(F.col("d"))).count().collect()))
+
+
+def judge(stats: DataFrame, estimates: DataFrame, cut: float) -> DataFrame:
     """Adds __distance (null only if no row at all passes the plain limits) and __kept to rows with __s and __g."""
     params = sent(estimates.withColumnRenamed("g", "__group"))
     s = F.col("__s")
     rows = stats.join(params, F.col("__g") == F.col("__group"), "left").withColumn("__distance", distance(vector(s)))
-    return rows.withColumn("__kept", ~base_failed(s) & F.coalesce(F.col("__distance") <= chi_square_quantile(1 - tail), F.lit(False)))
+    return rows.withColumn("__kept", ~base_failed(s) & F.coalesce(F.col("__distance") <= cut, F.lit(False)))
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", **limits) -> DataFrame:
@@ -197,14 +224,16 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     """
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     stats = with_statistics(own, *[f"row.`{c}`" for c in (text, lang, source)])
-    fitted = fit(common.cut(stats.select("__s", "__g")), **limits)
-    return judge(stats, fitted).where("__kept").select("row.*")
+    slim = common.cut(stats.select("__s", "__g"))
+    fitted = fit(slim, **limits)
+    return judge(stats, fitted, cut_of(slim, fitted)).where("__kept").select("row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     stats = common.cut(with_statistics(docs).select("doc_id", "__s", "__g"))
-    judged = judge(stats, fit(stats))
+    fitted = fit(stats)
+    judged = judge(stats, fitted, cut_of(stats, fitted))
     return judged.select("doc_id", "__s.*", base_failed(F.col("__s")).alias("base_failed"), F.col("__kept").alias("kept"), F.col("__distance").alias("distance"))
 
 

@@ -144,10 +144,32 @@ def test_small_groups_are_judged_by_a_wider_one(spark):
     rows += [(240 + k, prose(rnd, 90), "xx", "a") for k in range(2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
     stats = quality.with_statistics(df)
-    assert quality.judge(stats, quality.fit(stats)).where("__distance is null").count() == 0
+    fitted = quality.fit(stats)
+    assert quality.judge(stats, fitted, quality.cut_of(stats, fitted)).where("__distance is null").count() == 0
     assert {r["doc_id"] for r in quality.keep_good(df).collect()} == set(range(242))
 
 
+def test_cut_between_clean_rows_and_table_lines(spark):
+    """Lines of about 8% bars are at a distance between 20 and 33 from clean ones, and are rejected."""
+    rnd = random.Random(19)
+    rows = [(k, prose(rnd, rnd.randint(60, 200)), "en", "s") for k in range(300)]
+    rows += [(1000 + k, " ".join(w + "|" * (j % 3 == 0) for j, w in enumerate(prose(rnd, 90).split())), "en", "s") for k in range(15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    stats = quality.with_statistics(df)
+    fitted = quality.fit(stats)
+    got = {r["doc_id"]: r["__distance"] for r in quality.judge(stats, fitted, quality.cut_of(stats, fitted)).collect()}
+    assert max(got[k] for k in range(300)) < 15 and all(15 < got[1000 + k] < 33.4 for k in range(15))
+    assert {r["doc_id"] for r in quality.keep_good(df).collect()} == set(range(300))
+
+
+def test_least_dense():
+    low, high = (quality.chi_square_quantile(1 - t) for t in quality.TAILS)
+    place = lambda d: math.floor(math.log(d) * quality.FINE)
+    assert low < quality.least_dense({}) < high
+    assert 15 < quality.least_dense({place(d): 5 for d in (11, 12, 13, 14, 25, 28, 30, 33)}) < 24
+    assert quality.least_dense({k: 1000 - 9 * k for k in range(60, 120)}) > 0.9 * high
+
+
 def test_estimate_is_a_concentration_step(spark):
     """Centre and scatter of clean, correlated vectors with a third of gross outliers are those of the clean ones."""
     rng = np.random.default_rng(9)
