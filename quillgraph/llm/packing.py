@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -99,50 +100,101 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _better(into: list[int], out_of: list[int], lengths: list[int], gap: int) -> tuple[list[int], list[int]] | None:
-    """Items to take from `into` and from `out_of` in exchange, so that `into` gains the most within `gap`.
-
-    Tried: a move, one for one, one for two and two for one. None if nothing is gained.
-    """
-    best, found = 0, None
-    mine = sorted((lengths[i], i) for i in into)
-    theirs = sorted((lengths[i], i) for i in out_of)
-    given = [(0, ()), *((n, (i,)) for n, i in mine), *((mine[a][0] + mine[b][0], (mine[a][1], mine[b][1])) for a in range(min(len(mine), 40)) for b in range(a))]
-    taken = [*((n, (i,)) for n, i in theirs), *((theirs[a][0] + theirs[b][0], (theirs[a][1], theirs[b][1])) for a in range(min(len(theirs), 40)) for b in range(a))]
-    sizes = np.array([n for n, _ in taken])
-    order = np.argsort(sizes, kind="stable")
-    ranked = sizes[order]
-    for n, give in given:
-        at = int(np.searchsorted(ranked, n + gap, "right")) - 1
-        if at >= 0 and ranked[at] - n > best and len(give) + len(taken[order[at]][1]) <= 3:
-            best, found = int(ranked[at]) - n, (list(give), list(taken[order[at]][1]))
-            if best == gap:
-                break
-    return found
-
-
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, width: int = 32, rounds: int = 50) -> list[list[int]]:
-    """Local search over the `width` emptiest bins, from the emptiest on: each accepted exchange fills the fuller bin of a pair further,
-    which raises the sum of squared fills (an integer with an upper bound, so it ends); emptied bins are dropped. It ends early
-    where even perfect exchanges could empty no bin, or where no pair of bins allows one."""
+def _groups(members: list[int], lengths: list[int]) -> tuple[dict[int, tuple[int, ...]], dict[int, tuple[int, ...]]]:
+    """Single items and pairs of a bin by their length; of those with equal length one stands for all."""
+    kinds: dict[int, list[int]] = {}
+    for i in members:
+        kinds.setdefault(lengths[i], []).append(i)
+    sizes = list(kinds)
+    pairs = {2 * n: (same[0], same[1]) for n, same in kinds.items() if len(same) > 1}
+    for a, n in enumerate(sizes):
+        for m in sizes[:a]:
+            pairs[n + m] = (kinds[n][0], kinds[m][0])
+    return {n: (same[0],) for n, same in kinds.items()}, pairs
+
+
+class _Offers:
+    """For each length, the bins that have such a single item or pair, the emptiest first; a bit per length that is offered."""
+
+    def __init__(self):
+        self.heaps: dict[int, list[tuple[int, int, int]]] = {}
+        self.bits = 0
+
+    def add(self, size: int, entry: tuple[int, int, int]) -> None:
+        heapq.heappush(self.heaps.setdefault(size, []), entry)
+        self.bits |= 1 << size
+
+    def find(self, above: int, up_to: int, target: int, fill: int, version: list[int]) -> tuple[int, int] | None:
+        """The greatest length in (above, up_to] that a bin other than `target`, no fuller than `fill`, offers, and that bin."""
+        left = self.bits & ((1 << (up_to + 1)) - 1)
+        while (size := left.bit_length() - 1) > above:
+            heap, own = self.heaps[size], None
+            while heap and (heap[0][2] != version[heap[0][1]] or heap[0][1] == target):
+                entry = heapq.heappop(heap)
+                if entry[2] == version[target] and entry[1] == target:
+                    own = entry
+            found = heap[0] if heap else None
+            if own:
+                heapq.heappush(heap, own)
+            if found and found[0] <= fill:
+                return size, found[1]
+            if not heap:
+                self.bits ^= 1 << size
+            left ^= 1 << size
+        return None
+
+
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Local search over all underfull bins: a bin takes one or two items of an emptier one, for up to two of its own (three items in
+    all), so that it gains the most within its gap. That raises the sum of squared fills (an integer with an upper bound, so it ends);
+    emptied bins are dropped. It ends where no bin finds an exchange with any other, or where the bins are as few as their
+    items' total length allows."""
+    bins = [list(b) for b in bins]
     fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))[:width]
-        if len(under) < 2 or sum(fill[b] for b in under) > capacity * (len(under) - 1):
-            break
+    version, groups = [0] * len(bins), {}
+    single, double = _Offers(), _Offers()
+    used, least = sum(n > 0 for n in fill), -(-sum(fill) // capacity)
+
+    def offer(b: int) -> None:
+        version[b] += 1
+        groups.pop(b, None)
+        if 0 < fill[b] < capacity:
+            groups[b] = _groups(bins[b], lengths)
+            for offers, by_size in zip((single, double), groups[b], strict=True):
+                for size in by_size:
+                    offers.add(size, (fill[b], b, version[b]))
+
+    def exchange(target: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
+        """The source, the items given to it and those taken from it."""
+        gap, best, found = capacity - fill[target], 0, None
+        ones, twos = groups[target]
+        for given, kinds in (({0: ()}, (single, double)), (ones, (single, double)), (twos, (single,))):
+            for size, give in given.items():
+                for offers in kinds:
+                    if got := offers.find(size + best, size + gap, target, fill[target], version):
+                        best, found = got[0] - size, (got[1], give, groups[got[1]][offers is double][got[0]])
+                        if best == gap:
+                            return found
+        return found
+
+    if used > least:
+        for b in range(len(bins)):
+            offer(b)
+    changed = True
+    while changed and used > least:
         changed = False
-        for source in under:
-            for target in sorted(under, key=lambda b: (-fill[b], b)):
-                while bins[source] and source != target and fill[source] <= fill[target] < capacity and (change := _better(bins[target], bins[source], lengths, capacity - fill[target])):
-                    give, take = change
-                    gain = sum(lengths[i] for i in take) - sum(lengths[i] for i in give)
-                    bins[target] = [i for i in bins[target] if i not in give] + take
-                    bins[source] = [i for i in bins[source] if i not in take] + give
-                    fill[target] += gain
-                    fill[source] -= gain
-                    changed = True
-        if not changed:
-            break
+        for target in sorted(groups, key=lambda b: (-fill[b], b)):
+            while used > least and target in groups and (change := exchange(target)):
+                source, give, take = change
+                gain = sum(lengths[i] for i in take) - sum(lengths[i] for i in give)
+                bins[target] = [i for i in bins[target] if i not in give] + list(take)
+                bins[source] = [i for i in bins[source] if i not in take] + list(give)
+                fill[target] += gain
+                fill[source] -= gain
+                used -= not bins[source]
+                offer(target)
+                offer(source)
+                changed = True
     return [b for b in bins if b]
 
 

@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 from hypothesis import given, settings
@@ -51,6 +52,27 @@ def test_local_search_empties_a_bin():
     assert len(packing.improve(start, lengths, 10)) == 3
 
 
+def test_local_search_sees_all_bins():
+    """The emptiest 40 bins of 97 allow no exchange among themselves; the tokens they need are in fuller bins."""
+    lengths = [97] * 40 + [50, 48] * 30 + [52, 47] * 30
+    start = [[k] for k in range(40)] + [[k, k + 1] for k in range(40, 160, 2)]  # 60 bins of 98 and 99: 50 + 50, 52 + 48 and 47 + 47 fit better
+    fills = [sum(lengths[i] for i in b) for b in packing.improve(start, lengths, 100)]
+    assert sum(f * f for f in fills) > sum(sum(lengths[i] for i in b) ** 2 for b in start) and fills.count(100) >= 30
+
+
+def test_no_exchange_is_left():
+    """Where the search ends above the least possible number of bins, no move, swap or exchange of two for one fills any bin further."""
+    rnd = random.Random(12)
+    lengths = [rnd.randint(21, 60) for _ in range(400)]
+    bins = [[lengths[i] for i in b] for b in packing.improve(packing.best_fit(lengths, 100), lengths, 100)]
+    assert len(bins) > -(-sum(lengths) // 100)
+    some = lambda b, most: [c for k in range(most + 1) for c in combinations(b, k)]
+    for into in bins:
+        for out_of in bins:
+            if into is not out_of and sum(out_of) <= sum(into):
+                assert not any(0 < sum(take) - sum(give) <= 100 - sum(into) for give in some(into, 2) for take in some(out_of, 2) if len(give) + len(take) <= 3)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(max_size=80))
 def test_ids_by_word_are_ids_of_the_text(text):
