@@ -2,14 +2,16 @@
 
 Markup is stripped to lines, one for each block element; boilerplate elements leave gaps of empty lines. The text length of each
 window of lines is summed. Text surges where a window's sum becomes positive and dives where it falls to zero; each stretch between a surge
-and its dive is a candidate. If the page marks its article, the stretches within are the text; otherwise the stretch with the most text is, with
-every other one in the same element, or with at least a given share of that text. Lines that are mostly links count as empty there.
+and its dive is a candidate. If the page marks its article, the stretches within are the text; otherwise the stretch with the most text is, and
+from there on, whatever its length, each one that is near an accepted one: a few lines away, or in the same element or one beside it.
+Lines that are mostly links count as empty there if their element's text is mostly links too.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +20,8 @@ from quillgraph.llm import common
 
 #: Lines of a window; a gap is as long, so stretches on its sides never share a window.
 WINDOW = 3
-#: Of an unmarked page: least share of the longest stretch's text in a stretch elsewhere, and most share of link text in a line.
-SHARE, LINKS = 0.35, 0.6
+#: Of an unmarked page: most empty lines between near stretches (a gap, or a few lines of links), and most share of link text.
+NEAR, LINKS = 2 * WINDOW, 0.6
 
 # Fixed values of the HTML standard: elements by their role.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -70,6 +72,7 @@ class Page:
         self.piece: list[str] = []
         self.linked = 0
         self.open: list[tuple[str, int, int]] = []
+        self.holders, self.around = [0], {0: 0}  # numbers of the open elements that hold lines, and of the one around each
         self.opened = 0
         self.bad = self.good = 0
         at, end = 0, len(source)
@@ -101,12 +104,13 @@ class Page:
     def line(self) -> None:
         if self.piece:
             words = " ".join(html.unescape("".join(self.piece)).split())
-            self.lines.append((words, self.good > 0, self.linked, next((k for name, _, k in reversed(self.open) if name in HOLDERS), 0)))
+            self.lines.append((words, self.good > 0, min(self.linked, len(words)), self.holders[-1]))
             self.piece, self.linked = [], 0
 
     def gap(self) -> None:
         self.line()
-        self.lines += [("", False, 0, -1)] * WINDOW
+        if not self.lines or self.lines[-1][3] >= 0:  # any number of dropped elements in a row is one gap
+            self.lines += [("", False, 0, -1)] * WINDOW
 
     def start(self, name: str, rest: str) -> None:
         if name == "br" or name == "wbr":
@@ -127,6 +131,9 @@ class Page:
         self.good += role > 0
         self.opened += 1
         self.open.append((name, role, self.opened))
+        if name in HOLDERS:
+            self.around[self.opened] = self.holders[-1]
+            self.holders.append(self.opened)
 
     def close(self, name: str) -> None:
         if name in BLOCKS:
@@ -135,6 +142,8 @@ class Page:
             return
         while self.open:
             last, role, _ = self.open.pop()
+            if last in HOLDERS:
+                self.holders.pop()
             if role:
                 self.gap()
             self.bad -= role < 0
@@ -151,21 +160,43 @@ def stretches(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]
     return [(int(a), int(b)) for a, b in edges]
 
 
-def main_text(source: str | None, window: int = WINDOW, share: float = SHARE, links: float = LINKS) -> str:
+def near_longest(found: list[tuple[int, int]], lengths: np.ndarray, held: list[int], around: dict[int, int], near: int = NEAR) -> list[tuple[int, int]]:
+    """The stretch with the most text and, to both sides, those near an accepted one; `held` has each line's element."""
+    used = [[i for i in range(a, b) if lengths[i]] for a, b in found]
+    start = max(range(len(found)), key=lambda k: int(lengths[used[k]].sum()))
+    accepted, places = {start}, set()
+
+    def accept(k: int) -> None:
+        accepted.add(k)
+        places.update(x for i in used[k] for x in (held[i], around[held[i]]))
+
+    accept(start)
+    for step, end in ((-1, -1), (1, len(found))):
+        for k in range(start + step, end, step):
+            gap = used[k + 1][0] - used[k][-1] - 1 if step < 0 else used[k][0] - used[k - 1][-1] - 1
+            if k - step in accepted and gap <= near or any(x in places for i in used[k] for x in (held[i], around[held[i]])):
+                accept(k)
+    return [found[k] for k in sorted(accepted)]
+
+
+def main_text(source: str | None, window: int = WINDOW, links: float = LINKS) -> str:
     """Main text of a page: its blocks in order, joined by line feeds; empty for a null or empty page, or if there is none."""
     if not source:
         return ""
-    lines = Page(source).lines
+    page = Page(source)
+    lines = page.lines
     if not lines:
         return ""
     marked = any(good and words for words, good, _, _ in lines)
-    lengths = np.array([len(words) * (good if marked else linked <= links * len(words)) for words, good, linked, _ in lines])
-    found = [(a, b, int(lengths[a:b].sum())) for a, b in stretches(lengths, window)]
+    total, linked_in = Counter(), Counter()
+    for words, _, linked, holder in lines:
+        total[holder] += len(words)
+        linked_in[holder] += linked
+    lengths = np.array([len(words) * (good if marked else linked <= links * len(words) or linked_in[holder] <= links * total[holder]) for words, good, linked, holder in lines])
+    found = stretches(lengths, window)
     if not marked and found:
-        low, high, most = max(found, key=lambda x: x[2])
-        inside = {lines[i][3] for i in range(low, high) if lengths[i]}
-        found = [(a, b, n) for a, b, n in found if n >= share * most or any(lines[i][3] in inside for i in range(a, b) if lengths[i])]
-    return "\n".join(lines[i][0] for a, b, _ in found for i in range(a, b) if lengths[i])
+        found = near_longest(found, lengths, [x[3] for x in lines], page.around)
+    return "\n".join(lines[i][0] for a, b in found for i in range(a, b) if lengths[i])
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:

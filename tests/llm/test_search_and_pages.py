@@ -53,3 +53,13 @@ def test_surge_and_dive():
     assert extraction.stretches(np.array([0, 0, 5, 0, 0, 0, 0, 7, 1])) == [(2, 5), (7, 9)]
     page = "<div>" + "".join(f"<div>{'words ' * 30}</div>" for _ in range(5)) + "</div><div><a href=x>short link</a></div>"
     assert extraction.main_text(page) == "\n".join([("words " * 30).strip()] * 5)
+
+
+def test_short_sections_and_link_lines_of_unmarked_pages():
+    long, short = ("words " * 170).strip(), ("more " * 40).strip()
+    assert extraction.main_text(f"<body><div>{long}</div><div class=ad>x</div><div>{short}</div></body>") == f"{long}\n{short}"
+    rows = f"<div><div><p>{long}</p></div></div><div class=ad>x</div><div><section><p>{short}</p></section></div><div class=ad>x</div><div class=ad>y</div><div><div><p>end</p></div></div>"
+    assert extraction.main_text(f"<body>{rows}</body>") == f"{long}\n{short}\nend"
+    sources = "<ul><li><a href=x>First source of this</a></li><li><a href=y>Second source</a></li></ul>"
+    page = f"<body><div><a href=/>Home</a> <a href=/a>About</a></div><div><p>{long}</p>{sources}</div></body>"
+    assert extraction.main_text(page) == f"{long}\nFirst source of this\nSecond source"
