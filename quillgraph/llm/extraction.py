@@ -1,6 +1,7 @@
 """Main text of HTML pages by the distribution of text over blocks of lines.
 
-Markup is stripped to lines, one for each block element; boilerplate elements leave gaps of empty lines. The text length of each
+Markup is stripped to lines, one for each block element; boilerplate elements leave gaps of empty lines. What only a class, an id or a
+form marks as boilerplate is none if it wraps the page: if the one marked article is in it, or else most of the unlinked text. The text length of each
 window of lines is summed. Text surges where a window's sum becomes positive and dives where it falls to zero; each stretch between a surge
 and its dive is a candidate. If the page marks its article, the stretches within are the text; otherwise the stretch with the most text is, and
 from there on, whatever its length, each one that is near an accepted one: a few lines away, or in the same element or one beside it.
@@ -29,12 +30,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math", "object", "canvas", "audio", "video")
 HOLDERS = frozenset("body div section article main td center".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button select head fieldset label".split())
+#: Boilerplate elements that may wrap a whole page.
+WRAPPERS = frozenset("form fieldset".split())
 #: Closed by the start of another of the same kind.
 SELF_CLOSING = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
-#: Words of class, id and role attributes that mark boilerplate, and those that mark the article.
+#: Words of class, id and role attributes that mark boilerplate, and those of them for text by readers, which may be most of a page.
 BAD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|login|sidebar\w*|side|aside|widget\w*|menu\w*|nav\w*|breadcrumbs?|pagination|pager|header|masthead|topbar|toolbar|footer|copyright|legal|social|share|sharing|related|recommend\w*|comments?|commentlist|disqus|replies|reply|respond|search|form|tags?|hidden)(?=$|[\s_-])", re.I)
-GOOD = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body|text)(?=$|[\s_-])", re.I)
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reply|respond)(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>", re.S)
@@ -44,28 +47,35 @@ ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
 def role_of(name: str, rest: str) -> int:
-    """-1 for boilerplate, 1 for a marked article, 0 for neither."""
+    """1 for a marked article, 0 for nothing; below 0 for boilerplate: -1 if it may wrap the page, -2 if only around a marked article, -3 if never."""
     if name in ("article", "main"):
         return 1
-    if name in BOILERPLATE:
-        return -1
+    if name in BOILERPLATE and name not in WRAPPERS:
+        return -3
     if not rest or name in ("body", "html"):
-        return 0
+        return -(name in WRAPPERS)
     words = []
     for key, a, b, c in ATTRIBUTE.findall(rest):
         key, value = key.lower(), a or b or c
         if key == "role" and value.lower() in ROLES or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return -1
+            return -3
         if key == "role" and value.lower() in ("main", "article") or key == "itemprop" and value == "articleBody":
             return 1
         if key in ("class", "id"):
             words.append(value)
     marks = " ".join(words)
-    return -1 if (marks and BAD.search(marks)) or HIDDEN.search(ATTRIBUTE.sub("", rest)) else 0
+    if HIDDEN.search(ATTRIBUTE.sub("", rest)):
+        return -3
+    if marks and BAD.search(marks):
+        return -2 if READERS.search(marks) else -1
+    return -(name in WRAPPERS)
 
 
 class Page:
-    """Lines of a page: text, whether inside a marked article, length of link text, and number of the enclosing element."""
+    """Lines of a page: text, whether inside a marked article, length of link text, and number of the enclosing element.
+
+    Lines in boilerplate are kept aside until the end shows which of its elements wrap the page.
+    """
 
     def __init__(self, source: str):
         self.lines: list[tuple[str, bool, int, int]] = []
@@ -74,7 +84,10 @@ class Page:
         self.open: list[tuple[str, int, int]] = []
         self.holders, self.around = [0], {0: 0}  # numbers of the open elements that hold lines, and of the one around each
         self.opened = 0
-        self.bad = self.good = 0
+        self.good = 0
+        self.bad: list[int] = [0]  # places in `kinds` of the open boilerplate elements
+        self.kinds: list[tuple[int, int]] = [(0, 0)]  # role and place of the one around, for each boilerplate element
+        self.within: list[int] = []  # for each line, the innermost of them, or 0
         at, end = 0, len(source)
         while at < end:
             tag = TOKEN.search(source, at)
@@ -94,9 +107,45 @@ class Page:
             else:
                 self.start(name, rest)
         self.line()
+        self.settle()
+
+    def settle(self) -> None:
+        """Lines in boilerplate become gaps, but for those of the elements that wrap the page."""
+        kept = {0} | self.wrapping()
+        lines, self.lines = self.lines, []
+        for line, place in zip(lines, self.within, strict=True):
+            if place in kept and line[3] >= 0:
+                self.lines.append(line)
+            elif not self.lines or self.lines[-1][3] >= 0:  # any number of dropped elements in a row is one gap
+                self.lines += [("", False, 0, -1)] * WINDOW
+
+    def wrapping(self) -> set[int]:
+        """The boilerplate element that wraps the page, if there is one, and those around it."""
+        least = [0] * len(self.kinds)  # of the roles from the outermost element in
+        for place, (role, around) in enumerate(self.kinds[1:], 1):
+            least[place] = min(role, least[around])
+        marked, plain = [0] * len(least), [0] * len(least)
+        for (words, good, linked, _), place in zip(self.lines, self.within, strict=True):
+            marked[place] += len(words) * good
+            plain[place] += len(words) - linked
+        if marked[0]:
+            return set()
+        place = max((k for k in range(len(least)) if least[k] > -3), key=lambda k: marked[k])
+        if not marked[place]:
+            place = max((k for k in range(len(least)) if least[k] > -2), key=lambda k: plain[k])
+            held = plain.copy()
+            for k in range(len(held) - 1, 0, -1):
+                held[self.kinds[k][1]] += held[k]
+            if 2 * held[place] <= held[0]:
+                return set()
+        found = set()
+        while place:
+            found.add(place)
+            place = self.kinds[place][1]
+        return found
 
     def text(self, raw: str) -> None:
-        if raw and not self.bad:
+        if raw:
             self.piece.append(raw)
             if any(name == "a" for name, _, _ in self.open):
                 self.linked += len(raw)
@@ -105,16 +154,17 @@ class Page:
         if self.piece:
             words = " ".join(html.unescape("".join(self.piece)).split())
             self.lines.append((words, self.good > 0, min(self.linked, len(words)), self.holders[-1]))
+            self.within.append(self.bad[-1])
             self.piece, self.linked = [], 0
 
     def gap(self) -> None:
         self.line()
-        if not self.lines or self.lines[-1][3] >= 0:  # any number of dropped elements in a row is one gap
-            self.lines += [("", False, 0, -1)] * WINDOW
+        self.lines.append(("", False, 0, -1))
+        self.within.append(0)
 
     def start(self, name: str, rest: str) -> None:
         if name == "br" or name == "wbr":
-            self.piece += [" "] * (name == "br" and not self.bad)
+            self.piece += [" "] * (name == "br")
             return
         if name in BLOCKS:
             self.line()
@@ -127,7 +177,9 @@ class Page:
         role = role_of(name, rest)
         if role:
             self.gap()
-        self.bad += role < 0
+        if role < 0:
+            self.kinds.append((role, self.bad[-1]))
+            self.bad.append(len(self.kinds) - 1)
         self.good += role > 0
         self.opened += 1
         self.open.append((name, role, self.opened))
@@ -146,7 +198,8 @@ class Page:
                 self.holders.pop()
             if role:
                 self.gap()
-            self.bad -= role < 0
+            if role < 0:
+                self.bad.pop()
             self.good -= role > 0
             if last == name:
                 break

@@ -63,3 +63,14 @@ def test_short_sections_and_link_lines_of_unmarked_pages():
     sources = "<ul><li><a href=x>First source of this</a></li><li><a href=y>Second source</a></li></ul>"
     page = f"<body><div><a href=/>Home</a> <a href=/a>About</a></div><div><p>{long}</p>{sources}</div></body>"
     assert extraction.main_text(page) == f"{long}\nFirst source of this\nSecond source"
+
+
+def test_wrappers_named_like_boilerplate():
+    long, ad, teaser = ("words " * 60).strip(), "<div class=ad>Buy</div>", "<div class=related><article>Read this too</article></div>"
+    for name in ("layout has-sidebar", "no-sidebar", "nav-open", "with-header", "post no-comments"):
+        assert extraction.main_text(f"<body><div class='{name}'><nav>Home</nav><article>{long}</article>{ad}{teaser}</div></body>") == long
+    for start, end in (("<form action=x>", "</form>"), ("<div class='layout has-sidebar'>", "</div>"), ("<div class=nav-open><form>", "</form></div>")):
+        assert extraction.main_text(f"<body><p>Top</p>{start}<nav>Home</nav><article>{long}</article>{ad}{end}</body>") == long
+        assert extraction.main_text(f"<body>{start}<nav>Home</nav><div><p>{long}</p></div>{ad}{end}</body>") == long
+    for other in (f"<div class=comments>{long}</div>", f"<nav>{long}</nav>", f"<div hidden>{long}</div>", f"<div class=menu><a href=x>{long}</a></div>", f"<article class=x>{long}</article>{teaser}"):
+        assert extraction.main_text(f"<body><div><p>Short text</p></div>{other}</body>") == (long if "class=x" in other else "Short text")
