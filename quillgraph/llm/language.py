@@ -17,7 +17,7 @@ from quillgraph.llm import common
 
 #: Bounds of the training sample, for each language: documents, and bytes of a document.
 SAMPLE_DOCS, SAMPLE_BYTES = 600, 50_000
-#: Longest contexts that are kept, over all languages together (the most frequent ones; others fall back to two bytes).
+#: Longest contexts that are kept, over all languages together (the most frequent ones of each in turn; others fall back to two bytes).
 CONTEXTS = 40_000
 
 
@@ -33,11 +33,15 @@ class Trees:
         self.width = a = int(seen.sum()) + 2
         self.rank = np.where(seen, np.cumsum(seen), a - 1).astype(np.int64)
         coded = {lang: np.concatenate([np.concatenate([np.zeros(3, np.int64), self.rank[np.frombuffer(t, np.uint8)]]) for t in texts]) for lang, texts in samples.items()}
-        triples = np.zeros(a**3, np.int64)
+        triples, place = np.zeros(a**3, np.int64), np.full(a**3, a**3, np.int64)  # place: the best among any language's contexts by count
         for x in coded.values():
-            triples += np.bincount((x[:-3] * a + x[1:-2]) * a + x[2:-1], minlength=a**3)
-        order = np.argsort(-triples, kind="stable")
-        kept = np.sort(order[: min(contexts, int((triples > 0).sum()))])
+            own = np.bincount((x[:-3] * a + x[1:-2]) * a + x[2:-1], minlength=a**3)
+            used = np.flatnonzero(own)
+            used = used[np.argsort(-own[used], kind="stable")]
+            place[used] = np.minimum(place[used], np.arange(len(used)))
+            triples += own
+        used = np.flatnonzero(triples)
+        kept = np.sort(used[np.lexsort((-triples[used], place[used]))][:contexts])
         #: Number of a three-byte context, or -1.
         self.slot = np.full(a**3, -1, np.int32)
         self.slot[kept] = np.arange(len(kept), dtype=np.int32)
@@ -79,7 +83,8 @@ class Trees:
 
 
 def train(labelled: DataFrame, docs: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES, contexts: int = CONTEXTS, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Trees:
-    """Trees from a bounded sample: at most `docs` rows a language, chosen by a hash of their id, and `size` bytes of each.
+    """Trees from a bounded sample: at most `docs` rows a language, chosen by a hash of their id, and `size` bytes of each,
+    from a hashed place on if it is longer.
 
     Rows with a null text or language teach nothing. Counting languages is one aggregation; only the sample reaches the driver.
     """
@@ -89,7 +94,7 @@ def train(labelled: DataFrame, docs: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES
         return Trees({})
     share = F.create_map(*[x for name, n in totals.items() for x in (F.lit(name), F.lit(min(1.0, docs / n)))])
     draw = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(draw < share[F.col("l")]).withColumn("b", F.expr(f"substring(cast(t as binary), 1, {size})"))
+    sample = rows.where(draw < share[F.col("l")]).withColumn("b", F.expr(f"substring(cast(t as binary), cast(1 + pmod(xxhash64(k, 'place'), greatest(octet_length(t) - {size}, 0) + 1) as int), {size})"))
     held: dict[str, list[tuple]] = {name: [] for name in totals}
     for r in sample.select("l", "b", draw.alias("draw")).toLocalIterator():
         held[r["l"]].append((r["draw"], bytes(r["b"])))

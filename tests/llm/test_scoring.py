@@ -67,6 +67,20 @@ def test_code_lengths():
         assert trees.lengths(text, chunk=4) == pytest.approx(trees.lengths(text), rel=1e-4)
 
 
+def test_contexts_are_shared_by_languages():
+    """A language of one short text keeps its contexts next to one with thousands of more frequent ones."""
+    rnd = random.Random(20)
+    trees = language.Trees({"large": [prose(rnd, 20_000).encode()], "small": [b"xyzzy zyx yxz"]}, contexts=30)
+    held = lambda t: trees.slot[np.dot(trees.rank[list(t)], [trees.width**2, trees.width, 1])] >= 0
+    assert all(held(t) for t in (b"xyz", b"yzz", b"zzy", b"zyx", b"zy ")) and (trees.slot >= 0).sum() == 30
+
+
+def test_long_texts_are_sampled_from_any_place(spark):
+    rows = [(k, "a" * 50 + "b" * 50 + "é" * 25, "x") for k in range(40)]
+    trees = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), size=20)
+    assert all(trees.rank[c] < trees.width - 1 for c in "abé".encode())
+
+
 def test_language_accuracy(spark):
     rnd = random.Random(4)
     rows = [(k, prose(rnd, rnd.randint(5, 80), letters), letters) for k in range(120) for letters in ("abcdefgh", "efghijkl", "aeiouxyz")]
