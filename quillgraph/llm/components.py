@@ -17,6 +17,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     Each round ties every node's larger neighbours, then its smaller ones, to the smallest, until all edges lead to a root.
     The number of rounds grows with the logarithm of the longest path, and no list of neighbours is ever gathered.
+    If edges still change in the last of `rounds`, an error is raised, so no component is ever returned in parts.
     """
     current = common.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
@@ -32,5 +33,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -74,6 +74,13 @@ def test_bands_reach_recall():
         assert bands * rows <= neardup.HASHES and 1 - (1 - t**rows) ** bands >= 0.9999
 
 
+def test_components_are_whole_or_an_error(spark):
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        components(path, rounds=2)
+    assert {r["root"] for r in components(path).collect()} == {0}
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(k, k + 1) for k in range(40) if k != 20] + [(rnd.randint(100, 160), rnd.randint(100, 160)) for _ in range(40)]
