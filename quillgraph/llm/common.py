@@ -12,7 +12,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word definition `[^\x20\x09-\x0D]+`; `bytes.split()` splits on exactly these.
@@ -104,10 +104,37 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows as a table in the shared folder and read it from there."""
-    path = scratch(df.sparkSession, "rows")
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage: write the rows as a table in the shared folder and read it from there. Its rows are counted on the way."""
+    path, seen = scratch(df.sparkSession, "rows"), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_rows = seen.get["rows"]
+    return table
+
+
+def rows_of(table: DataFrame) -> int:
+    """Number of rows; known for a table as `cut` returns it, else counted."""
+    return table.written_rows if hasattr(table, "written_rows") else table.count()
+
+
+def small(table: DataFrame, most: int) -> DataFrame:
+    """A table that is written first, and marked for sending to all tasks if it has at most `most` rows; beyond, it is joined by shuffle."""
+    table = table if hasattr(table, "written_rows") else cut(table)
+    return F.broadcast(table) if rows_of(table) <= most else table
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str, most: int, how: str = "inner", parts: int = 32) -> DataFrame:
+    """`rows` with the columns of a written table by `key`, a column of both (null keys never match).
+
+    With at most `most` rows the table is sent to all tasks. Beyond, both sides are shuffled by the key and a part: each row falls to one
+    of `parts` parts in turn and the table is repeated for each, so no key brings more than a part of its rows to one task.
+    """
+    if rows_of(table) <= most:
+        return rows.join(F.broadcast(table), key, how)
+    part = private(rows, "__part")
+    repeated = table.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = rows.withColumn(part, F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int"))
+    return dealt.join(repeated, [key, part], how).drop(part)
 
 
 _PATHS: list[str] = []

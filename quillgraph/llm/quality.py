@@ -1,34 +1,39 @@
 """Quality rules: plain limits, then robust multivariate outliers by language and source.
 
-Statistics of whole texts are turned into a vector of four transformed figures. For each language and source, or for the whole
-language or all rows where that has too few rows for an estimate of its own, concentration
-steps towards the minimum covariance determinant are run: keep the `coverage` share of vectors nearest to the current centre by
-Mahalanobis distance, re-estimate, repeat; a reweighting step ends it. Distances are ranked by narrow logarithmic bins, and the sums of
-a bin suffice for the next estimate, so a group of any size costs a bounded number of rows after map-side aggregation.
-The figures are mostly 0 in clean text, so distances do not follow chi-square and no fixed tail fits: rows are rejected beyond the place
-where distances are least dense, between a wide and a narrow tail.
+Statistics of whole texts become a vector of four figures that vary in clean text too: mean word length, marks and capitals for each
+word, and how fast new words become rare. The shorter a text, the more its figures scatter, so they are drawn towards the median of its
+language and source. For each language and source, each language, and all rows, the minimum covariance determinant is sought: from three
+deterministic starts, concentration steps keep the `coverage` share of vectors nearest to the current centre by Mahalanobis distance
+and re-estimate, until determinants fall by less than a hundredth; the start with the least one is reweighted. The estimate of a language and source is
+drawn towards its language's and that towards all rows', the more the fewer rows it has, so every row is judged however small its group is.
+Distances are ranked by narrow logarithmic bins, and the sums of a bin suffice for the next estimate, so a group of any size costs
+a bounded number of rows after map-side aggregation. Clean distances are about chi-square with a longer tail; rows are rejected beyond
+the place where distances are least dense, between a wide and a narrow tail.
 Everything is built from DataFrame and SQL functions.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import common
 
 DIMENSIONS = 4
-#: Share of the vectors that a concentration step keeps, number of steps, and least rows of a group with an estimate of its own.
-COVERAGE, STEPS, LEAST_ROWS = 0.75, 3, 40
+#: Share of the vectors that a concentration step keeps, and most steps.
+COVERAGE, STEPS = 0.5, 8
+#: Words at which half the variance of a figure counts as the text's own, and rows at which half an estimate is a group's own.
+OWN_WORDS, OWN_ROWS = 500, 30
+#: Share of the spread of all rows that is added to each variance, so that figures without any scatter can be divided by.
+RIDGE = 1e-3
 #: Tail probabilities between which the cut lies: nothing nearer than the first is rejected, nothing beyond the second is kept.
-TAILS = (0.025, 1e-6)
+TAILS = (0.025, 1e-9)
 #: Bins of distances for each unit of their logarithm, and bins on either side that count towards the density at a place.
 FINE, AROUND = 32, 6
-#: Standard deviations below which differences of a figure do not count.
-FLOORS = (0.35, 0.45, 0.12, 0.45)
-#: Up to so many groups, the table of estimates (under 300 bytes a row) is sent to all tasks; beyond, it is joined by shuffle.
+#: Up to so many groups, the table of estimates (under 300 bytes a row) is sent to all tasks; beyond, it is joined by shuffle, hot groups split.
 SENT_GROUPS = 10_000
 
 SPACE = r" \t\n\u000B\u000C\r"
@@ -40,6 +45,8 @@ element_at(transform(array(transform(sequence(0, size(w) - 3), i -> xxhash64(w[i
         filter(p, (q, j) -> coalesce(get(p, j - 1).x = q.x, false) or coalesce(get(p, j + 1).x = q.x, false)),
         q -> array(q.i, q.i + 1, q.i + 2)))))), 1))), 1)
 """
+MARKS = "!\"#$%&''()*+,-./:;<=>?@[]^_`{|}~"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 STATISTICS = {
     "n_words": "size(w)",
     "word_chars": f"char_length(translate(t, '{SPACE}', ''))",
@@ -47,11 +54,17 @@ STATISTICS = {
     "n_dup_lines": f"element_at(transform(array(filter(split(t, '\\n'), l -> translate(l, '{SPACE}', '') <> '')), l -> size(l) - size(array_distinct(l))), 1)",
     "n_repeat_words": f"if(size(w) < 4, 0, {REPEATED})",
 }
+#: Further figures of the vector: marks, capitals and distinct words.
+FIGURES = {
+    "n_marks": f"char_length(t) - char_length(translate(t, '{MARKS}', ''))",
+    "n_capitals": f"char_length(t) - char_length(translate(t, '{CAPITALS}', ''))",
+    "n_distinct": "size(array_distinct(w))",
+}
 
 
 def statistics(text: str = "text") -> Column:
-    """A struct of the five statistics (long) of a whole text, given as an SQL expression; all 0 for null."""
-    inner = ", ".join(f"'{name}', cast({rule} as bigint)" for name, rule in STATISTICS.items())
+    """A struct of the statistics (long) of a whole text, given as an SQL expression; all 0 for null."""
+    inner = ", ".join(f"'{name}', cast({rule} as bigint)" for name, rule in (STATISTICS | FIGURES).items())
     bound = f"element_at(transform(array(coalesce({text}, '')), t -> element_at(transform(array(filter(split(t, '[ \\\\t-\\\\r]+'), x -> x <> '')), w -> named_struct({inner})), 1)), 1)"
     return F.expr(bound)
 
@@ -60,14 +73,15 @@ def base_failed(s: Column) -> Column:
     return (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
 
 
-def vector(s: Column) -> list[Column]:
-    """Mean word length, and rates of symbols, repeated words and repeated lines, transformed towards symmetry."""
-    words = F.greatest(s["n_words"], F.lit(1))
+def vector(s: str) -> list[str]:
+    """Mean word length (its logarithm), marks and capitals for each word (square roots, as counts vary by theirs), and how distinct words
+    fall behind words: the square root of log(words / distinct) / log(words)^2, which hardly depends on the length of a text."""
+    words = f"greatest({s}.n_words, 2)"
     return [
-        s["word_chars"] / words,
-        F.log1p(100 * s["n_symbols"] / F.greatest(s["word_chars"], F.lit(1))),
-        F.sqrt(s["n_repeat_words"] / words),
-        F.log1p(20 * s["n_dup_lines"] / words),
+        f"ln(greatest({s}.word_chars, 1) / {words})",
+        f"sqrt({s}.n_marks / {words})",
+        f"sqrt({s}.n_capitals / {words})",
+        f"sqrt(ln({words} / least(greatest({s}.n_distinct, 1), {words}))) / ln({words})",
     ]
 
 
@@ -90,74 +104,128 @@ def chi_square_quantile(p: float, dimensions: int = DIMENSIONS) -> float:
 
 
 PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
+X = [f"x{i}" for i in range(DIMENSIONS)]
+CENTRE = [f"m{i}" for i in range(DIMENSIONS)]
+SCATTER = [f"c{i}{j}" for i, j in PAIRS]
+FACTOR = [f"l{i}{j}" for i, j in PAIRS]
 
 
-def factor(estimates: DataFrame, scale: float = 1.0) -> DataFrame:
-    """Adds the lower Cholesky factor l{i}{j} of the covariance c{i}{j} times `scale`, with the floors added to its diagonal."""
+def factor(estimates: DataFrame, ridge: list[float], scale: float = 1.0) -> DataFrame:
+    """Adds the lower Cholesky factor l{i}{j} of the covariance c{i}{j} times `scale`, with the ridge added to its diagonal, and the
+    logarithm `det` of its determinant. Each entry is named by later ones (lateral aliases), so no expression grows."""
+    entries = []
     for i, j in PAIRS:
-        rest = F.col(f"c{i}{j}") * scale + (FLOORS[i] ** 2 if i == j else 0.0)
-        for k in range(j):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        estimates = estimates.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    return estimates
+        rest = f"c{i}{j} * {scale!r}D" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        entries.append(f"sqrt(greatest({rest} + {ridge[i]!r}D, {ridge[i] / 4!r}D)) AS l{i}{i}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    kept = [c for c in estimates.columns if c not in FACTOR and c != "det"]
+    return estimates.selectExpr(*kept, *entries, " + ".join(f"2 * ln(l{i}{i})" for i in range(DIMENSIONS)) + " AS det")
+
+
+def with_distance(rows: DataFrame, name: str, x: list[str]) -> DataFrame:
+    """Adds the squared Mahalanobis distance of the expressions `x` by forward substitution, from the columns of `factor`."""
+    solved = [f"({x[i]} - m{i}" + "".join(f" - l{i}{k} * __y{k}" for k in range(i)) + f") / l{i}{i} AS __y{i}" for i in range(DIMENSIONS)]
+    return rows.selectExpr("*", *solved).selectExpr(*[f"`{c}`" for c in rows.columns], " + ".join(f"__y{i} * __y{i}" for i in range(DIMENSIONS)) + f" AS `{name}`")
+
 
+def attached(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """`rows` with the columns of a written table of estimates, by g."""
+    return common.attach(rows, table, "g", SENT_GROUPS)
 
-def distance(x: list[Column]) -> Column:
-    """Squared Mahalanobis distance by forward substitution, as one nested expression over the columns of `factor`."""
-    solved: list[Column] = []
-    for i in range(DIMENSIONS):
-        rest = x[i] - F.col(f"m{i}")
-        for k in range(i):
-            rest = rest - F.col(f"l{i}{k}") * solved[k]
-        solved.append(rest / F.col(f"l{i}{i}"))
-    return sum((y * y for y in solved[1:]), solved[0] * solved[0])
 
+SUMS = [f"s{i}" for i in range(DIMENSIONS)] + [f"s{i}{j}" for i, j in PAIRS]
 
-def sent(estimates: DataFrame) -> DataFrame:
-    """Marked for sending to all tasks if there are few enough groups; beyond, the join shuffles and splits hot groups."""
-    return F.broadcast(estimates) if estimates.count() <= SENT_GROUPS else estimates
 
+def grouped(rows: DataFrame, keys: list[str], *expressions: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(*map(F.expr, expressions))
 
-def moments(rows: DataFrame, weight: Column | None = None) -> DataFrame:
-    """Means m{i} and covariances c{i}{j} by g from sums s{i}, s{i}{j} and counts n."""
-    kept = rows.groupBy("g").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(DIMENSIONS)], *[F.sum(f"s{i}{j}").alias(f"s{i}{j}") for i, j in PAIRS])
-    mean = [F.col(f"s{i}") / F.col("n") for i in range(DIMENSIONS)]
-    return kept.select("g", *[mean[i].alias(f"m{i}") for i in range(DIMENSIONS)], *[(F.col(f"s{i}{j}") / F.col("n") - mean[i] * mean[j]).alias(f"c{i}{j}") for i, j in PAIRS])
+
+def moments(rows: DataFrame, *keys: str) -> DataFrame:
+    """Means m{i} and covariances c{i}{j} by keys from sums s{i}, s{i}{j} and counts n."""
+    kept = grouped(rows, list(keys), "sum(n) AS n", *[f"sum({s}) AS {s}" for s in SUMS])
+    return kept.selectExpr(*keys, *[f"s{i} / n AS m{i}" for i in range(DIMENSIONS)], *[f"s{i}{j} / n - (s{i} / n) * (s{j} / n) AS c{i}{j}" for i, j in PAIRS])
 
 
 def sums(rows: DataFrame, *keys: str) -> DataFrame:
-    x = [F.col(f"x{i}") for i in range(DIMENSIONS)]
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(DIMENSIONS)], *[F.sum(x[i] * x[j]).alias(f"s{i}{j}") for i, j in PAIRS])
-
-
-def estimate(vectors: DataFrame, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
-    """A row with centre and Cholesky factor for each group g of (g, x0..x3)."""
-    quartiles = [F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i in range(DIMENSIONS)]
-    start = vectors.groupBy("g").agg(*quartiles)
-    spread = [(F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in range(DIMENSIONS)]
-    current = common.cut(start).select("g", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIMENSIONS)], *[(spread[i] * spread[i] if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
-    x = [F.col(f"x{i}") for i in range(DIMENSIONS)]
-    near = chi_square_quantile(coverage)
-    consistent = coverage / chi_square(near, DIMENSIONS + 2)
-    for step in range(steps):
-        far = bin_of(distance(x))
-        bins = sums(vectors.join(sent(factor(current, consistent if step else 1.0)), "g").withColumn("bin", far), "g", "bin")
-        nearest = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        within = bins.withColumn("nearer", F.coalesce(F.sum("n").over(nearest), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
-        current = common.cut(moments(within.where(F.col("nearer") < coverage * F.col("all"))))
-    weighted = vectors.join(sent(factor(current, consistent)), "g").where(distance(x) <= chi_square_quantile(0.975))
-    return common.cut(factor(moments(sums(weighted, "g"))))
+    return grouped(rows, list(keys), "count(*) AS n", *[f"sum(x{i}) AS s{i}" for i in range(DIMENSIONS)], *[f"sum(x{i} * x{j}) AS s{i}{j}" for i, j in PAIRS])
+
+
+def quartiles(rows: DataFrame) -> DataFrame:
+    """n, medians m{i} and spreads d{i} by g: from the quartiles, or the standard deviation where those are equal."""
+    found = grouped(rows, ["g"], "count(*) AS n", *[f"percentile_approx({x}, array(0.25D, 0.5D, 0.75D), 1000) AS q{x}" for x in X], *[f"stddev_pop({x}) AS d{x}" for x in X])
+    spread = [f"if(q{x}[2] > q{x}[0], (q{x}[2] - q{x}[0]) / 1.349D, greatest(d{x}, 1e-9D)) AS d{i}" for i, x in enumerate(X)]
+    return found.selectExpr("g", "n", *[f"q{x}[1] AS m{i}" for i, x in enumerate(X)], *spread)
+
+
+def starts(rows: DataFrame, middle: DataFrame) -> DataFrame:
+    """(g, n, start, m, c): the medians, with three correlations over the spreads: none, of hyperbolic tangents, of directions."""
+    scored = attached(rows, middle).selectExpr("g", *[f"greatest(-1e6D, least(1e6D, (x{i} - m{i}) / d{i})) AS z{i}" for i in range(DIMENSIONS)])
+    norm = "sqrt(1e-12D + " + " + ".join(f"z{i} * z{i}" for i in range(DIMENSIONS)) + ")"
+    scored = scored.selectExpr("g", f"{norm} AS norm", *[f"tanh(z{i}) AS t{i}" for i in range(DIMENSIONS)], *[f"z{i} / norm AS u{i}" for i in range(DIMENSIONS)])
+    shapes = grouped(scored, ["g"], *[f"avg({k}{i} * {k}{j}) AS {k}{i}{j}" for k in "tu" for i, j in PAIRS])
+    related = lambda k, i, j: f"0.9D * coalesce(try_divide({k}{i}{j}, sqrt({k}{i}{i} * {k}{j}{j})), 0D)" if k else "0D"
+    given = [f"named_struct('start', {at}, " + ", ".join(f"'c{i}{j}', d{i} * d{j}" + ("" if i == j else f" * {related(k, i, j)}") for i, j in PAIRS) + ")" for at, k in enumerate(("", "t", "u"))]
+    return attached(shapes, middle).selectExpr("g", "n", *CENTRE, f"explode(array({', '.join(given)})) AS s").selectExpr("g", "n", *CENTRE, "s.*")
+
+
+def towards(found: DataFrame, target: DataFrame | None, names: list[str], scale: float = 1.0) -> DataFrame:
+    """Estimates (g, n, ...) with scatter times `scale`, and `names` drawn towards those of a written table by g, the more the fewer rows they come from."""
+    own = {c: f"{c} * {scale!r}D" if c in SCATTER else c for c in found.columns}
+    if target is None:
+        return found.selectExpr(*[f"{e} AS {c}" for c, e in own.items()])
+    other = target.selectExpr("g", *[f"{c} AS w{c}" for c in names])
+    other.written_rows = common.rows_of(target)
+    mixed = [f"(n * {e} + {OWN_ROWS} * w{c}) / (n + {OWN_ROWS}) AS {c}" if c in names else c for c, e in own.items()]
+    return common.attach(found, other, "g", SENT_GROUPS).selectExpr(*mixed)
+
+
+def concentrate(rows: DataFrame, sizes: DataFrame, middle: DataFrame, ridge: list[float], target: DataFrame | None = None, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
+    """(g, m, c, l): the estimate with the least determinant that the concentration steps reach from any start."""
+    names = [*CENTRE, *SCATTER]
+    current = common.cut(factor(towards(starts(rows, middle), target, names), ridge).drop("n"))
+    consistent = coverage / chi_square(chi_square_quantile(coverage), DIMENSIONS + 2)
+    before = None
+    for _ in range(steps):
+        away = with_distance(attached(rows, current), "away", X)
+        bins = sums(away.withColumn("bin", bin_of("away")), "g", "start", "bin")
+        within = bins.selectExpr("*", "coalesce(sum(n) OVER (PARTITION BY g, start ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nearer", "sum(n) OVER (PARTITION BY g, start) AS every")
+        found = attached(moments(within.where(f"nearer < {coverage} * every"), "g", "start"), sizes)
+        current = common.cut(factor(towards(found, target, names, consistent), ridge).drop("n"))
+        groups, now = current.selectExpr("count(*)", "sum(det)").first()
+        if not groups or before is not None and before - now < 1e-2 * groups:
+            break
+        before = now
+    return common.cut(grouped(current, ["g"], f"min_by(struct({', '.join([*names, *FACTOR])}), det) AS e").select("g", "e.*"))
+
+
+def estimate(rows: DataFrame, ridge: list[float], target: DataFrame | None = None, **limits) -> DataFrame:
+    """(g, n, m, c): size, centre and scatter for each group g of (g, x0..x3) by the minimum covariance determinant, reweighted.
+
+    `target` holds a centre and scatter for each g; with it, every estimate on the way is drawn towards it, so that few rows suffice.
+    """
+    middle = common.cut(quartiles(rows))
+    sizes = middle.select("g", "n")
+    sizes.written_rows = common.rows_of(middle)
+    names, inner = [*CENTRE, *SCATTER], chi_square_quantile(0.975)
+    least = concentrate(rows, sizes, middle, ridge, target, **limits)
+    near = attached(moments(sums(with_distance(attached(rows, least), "away", X).where(f"away <= {inner}"), "g"), "g"), sizes)
+    near = towards(near.select("g", "n", *names), target, names, 0.975 / chi_square(inner, DIMENSIONS + 2)).selectExpr("g", *[f"{c} AS near_{c}" for c in names])
+    joined = attached(least.select("g", *names), sizes).join(near, "g", "left")  # where none of its rows is near, the estimate before stays
+    return common.cut(joined.selectExpr("g", "n", *[f"coalesce(near_{c}, {c}) AS {c}" for c in names]))
 
 
 def with_statistics(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """`docs` with columns __s (statistics) and __g (group)."""
-    return docs.withColumn("__s", statistics(text)).withColumn("__g", group_key(lang, source))
+    """`docs` with columns __s (statistics) and __g (group); what they had under these names is replaced."""
+    return docs.withColumns({"__s": statistics(text), "__g": group_key(lang, source)})
 
 
 def vectors(stats: DataFrame) -> DataFrame:
-    """Vectors of the rows that pass the plain limits."""
-    s = F.col("__s")
-    return stats.where(~base_failed(s)).select(F.col("__g").alias("g"), *[v.alias(f"x{i}") for i, v in enumerate(vector(s))])
+    """(g, words, x0..x3) of the rows that pass the plain limits."""
+    return stats.where(~base_failed(F.col("__s"))).selectExpr("__g AS g", "__s.n_words AS words", *[f"{v} AS {c}" for v, c in zip(vector("__s"), X, strict=True)])
+
+
+def drawn(x: str, i: int, words: str) -> str:
+    """Figure `i` drawn towards the median of its group, the more the shorter the text is."""
+    return f"(md{i} + ({x} - md{i}) * sqrt({words} / ({words} + {OWN_WORDS})))"
 
 
 def language_key(g: str) -> Column:
@@ -165,68 +233,86 @@ def language_key(g: str) -> Column:
     return F.substring_index(g, "\u0001", 1)
 
 
-def scopes(stats: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """(g, scope) for each group g of rows with __s and __g: the key of the narrowest of the group, its language and all rows (an
-    empty key) that has at least `least_rows` vectors. All rows serve whatever their number."""
-    groups = common.cut(stats.groupBy(F.col("__g").alias("g")).agg(F.count_if(~base_failed(F.col("__s"))).alias("n")).withColumn("language", language_key("g")))
-    languages = groups.groupBy("language").agg(F.sum("n").alias("all"))
-    scope = F.when(F.col("n") >= least_rows, F.col("g")).when(F.col("all") >= least_rows, F.col("language")).otherwise("")
-    return common.cut(groups.join(sent(languages), "language").select("g", scope.alias("scope")))
+def by_scope(rows: DataFrame, groups: DataFrame, found) -> DataFrame:
+    """`found(rows, target)` for all rows, then for each language with the former as target, then for each group with its language's.
+
+    Languages and groups (a written table of keys g) without any row get what their target holds.
+    """
+
+    def complete(part: DataFrame, target: DataFrame) -> DataFrame:
+        return common.cut(part.unionByName(target.join(part.select("g"), "g", "left_anti").withColumn("n", F.lit(0).cast("long"))))
+
+    every = found(rows.withColumn("g", F.lit("")), None).drop("g", "n")
+    target = common.cut(groups.select(language_key("g").alias("g")).distinct().crossJoin(F.broadcast(every)))  # `every` is one row
+    wide = complete(found(rows.withColumn("g", language_key("g")), target), target)
+    wide = common.small(wide, SENT_GROUPS).drop("n").withColumnRenamed("g", "in")
+    target = common.cut(groups.withColumn("in", language_key("g")).join(wide, "in").drop("in"))
+    return complete(found(rows, target), target)
 
 
-def fit(stats: DataFrame, least_rows: int = LEAST_ROWS, **limits) -> DataFrame:
-    """The estimate for every group g of rows with __s and __g: its own, or that of the scope it falls to."""
-    scope = scopes(stats, least_rows)
-    needed = scope.select(F.col("scope").alias("g")).distinct()
-    rows = vectors(stats)
-    if not scope.where("g <> scope").isEmpty():
-        rows = rows.withColumn("g", F.explode(F.array(F.col("g"), language_key("g"), F.lit(""))))
-        rows = rows.join(sent(needed), "g", "left_semi")
-    return scope.join(sent(estimate(rows, **limits).withColumnRenamed("g", "scope")), "scope").drop("scope")
+def fit(stats: DataFrame, **limits) -> DataFrame:
+    """(g, n, m, c, md, l) for every group g of rows with __s and __g: its medians, and the centre and factor its rows are judged by.
 
+    There are no estimates if no row at all passes the plain limits."""
+    rows, groups = vectors(stats), common.cut(stats.select(F.col("__g").alias("g")).distinct())
+    medians = by_scope(rows, groups, lambda x, target: common.cut(towards(quartiles(x).select("g", "n", *CENTRE), target, CENTRE)))
+    medians = common.cut(medians.select("g", *[F.col(c).alias(f"md{i}") for i, c in enumerate(CENTRE)]))
+    pulled = common.cut(attached(rows, medians).selectExpr("g", *[f"{drawn(c, i, 'words')} AS p{c}" for i, c in enumerate(X)]).toDF("g", *X))
+    spread = quartiles(pulled.withColumn("g", F.lit(""))).first()
+    ridge = [RIDGE * spread[f"d{i}"] ** 2 if spread else 1e-18 for i in range(DIMENSIONS)]
+    found = by_scope(pulled, groups, lambda x, target: estimate(x, ridge, target, **limits))
+    return common.cut(factor(attached(found, medians), ridge))
 
-def bin_of(x: Column) -> Column:
-    return F.floor(F.log(x + 1e-9) * FINE)
+
+def bin_of(name: str) -> Column:
+    return F.expr(f"floor(ln({name} + 1e-9D) * {FINE})")
 
 
 def least_dense(counts: dict[int, int], tails: tuple[float, float] = TAILS) -> float:
-    """The cut between `tails` where rows by bin of distance are fewest, bins around weighted by nearness; the middle one of the first
-    run of equal ones."""
+    """The cut between `tails` where rows by bin of distance are fewest, bins around weighted by nearness: the middle of the longest run of
+    bins with as few (the first of those)."""
     low, high = (math.floor(math.log(chi_square_quantile(1 - t)) * FINE) for t in tails)
     near = {k: AROUND + 1 - abs(k) for k in range(-AROUND, AROUND + 1)}
     dense = [sum(counts.get(at + k, 0) * w for k, w in near.items()) for at in range(low, high + 1)]
-    first = dense.index(min(dense))
-    last = next((k for k in range(first, len(dense)) if dense[k] > dense[first]), len(dense)) - 1
-    return math.exp((low + (first + last + 1) / 2) / FINE)
+    runs = [[at for at, _ in run] for fewest, run in groupby(enumerate(dense), key=lambda x: x[1] == min(dense)) if fewest]
+    longest = max(runs, key=len)
+    return math.exp((low + (longest[0] + longest[-1] + 1) / 2) / FINE)
+
+
+def judged_vector() -> list[str]:
+    return [drawn(v, i, "__s.n_words") for i, v in enumerate(vector("__s"))]
 
 
 def cut_of(stats: DataFrame, estimates: DataFrame) -> float:
     """The cut for rows with __s and __g, from the counts of a bounded number of bins."""
-    rows = vectors(stats).join(sent(estimates), "g").select(distance([F.col(f"x{i}") for i in range(DIMENSIONS)]).alias("d"))
+    rows = attached(stats.where(~base_failed(F.col("__s"))).selectExpr("__s", "__g AS g"), estimates)
     low, high = (chi_square_quantile(1 - t) for t in TAILS)
     around = math.exp((AROUND + 1) / FINE)
-    return least_dense(dict(rows.where(F.col("d").between(low / around, high * around)).groupBy(bin_of(F.col("d"))).count().collect()))
+    near = with_distance(rows, "d", judged_vector()).where(f"d BETWEEN {low / around} AND {high * around}")
+    return least_dense(dict(near.groupBy(bin_of("d")).count().collect()))
 
 
 def judge(stats: DataFrame, estimates: DataFrame, cut: float) -> DataFrame:
     """Adds __distance (null only if no row at all passes the plain limits) and __kept to rows with __s and __g."""
-    params = sent(estimates.withColumnRenamed("g", "__group"))
-    s = F.col("__s")
-    rows = stats.join(params, F.col("__g") == F.col("__group"), "left").withColumn("__distance", distance(vector(s)))
-    return rows.withColumn("__kept", ~base_failed(s) & F.coalesce(F.col("__distance") <= cut, F.lit(False)))
+    params = estimates.selectExpr("g AS __g", *[f"md{i}" for i in range(DIMENSIONS)], *CENTRE, *FACTOR)
+    if clash := [c for c in params.columns if c in stats.columns and c != "__g"]:
+        raise ValueError(f"columns {clash} clash with those of the estimates; put them into a struct")
+    rows = with_distance(common.attach(stats, params, "__g", SENT_GROUPS, "left"), "__distance", judged_vector())
+    kept = ~base_failed(F.col("__s")) & F.coalesce(F.col("__distance") <= cut, F.lit(False))
+    return rows.withColumn("__kept", kept).select(*[f"`{c}`" for c in stats.columns], "__distance", "__kept")
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", **limits) -> DataFrame:
     """The rows of `docs` that pass, with their columns as they are.
 
-    Null and empty texts have no words and are rejected. A null language or source is a value of its own. Groups under the least
-    number of rows are judged by their language, or by all rows if that is small too. Repeated rows are judged alike; an empty table gives an empty result.
+    Null and empty texts have no words and are rejected. A null language or source is a value of its own. The fewer rows a group has, the
+    more it is judged by its language and by all rows. Repeated rows are judged alike, rows at the cut are kept; an empty table gives an
+    empty result. Rows are written once with their statistics, which the estimates and the verdict read.
     """
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    stats = with_statistics(own, *[f"row.`{c}`" for c in (text, lang, source)])
-    slim = common.cut(stats.select("__s", "__g"))
-    fitted = fit(slim, **limits)
-    return judge(stats, fitted, cut_of(slim, fitted)).where("__kept").select("row.*")
+    stats = common.cut(with_statistics(own, *[f"row.`{c}`" for c in (text, lang, source)]))
+    fitted = fit(stats, **limits)
+    return judge(stats, fitted, cut_of(stats, fitted)).where("__kept").select("row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +320,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = common.cut(with_statistics(docs).select("doc_id", "__s", "__g"))
     fitted = fit(stats)
     judged = judge(stats, fitted, cut_of(stats, fitted))
-    return judged.select("doc_id", "__s.*", base_failed(F.col("__s")).alias("base_failed"), F.col("__kept").alias("kept"), F.col("__distance").alias("distance"))
+    return judged.select("doc_id", *[F.col(f"__s.{c}") for c in STATISTICS], base_failed(F.col("__s")).alias("base_failed"), F.col("__kept").alias("kept"), F.col("__distance").alias("distance"))
 
 
 QUERIES = {"op3_quality_rules": op3_quality_rules}
