@@ -137,6 +137,20 @@ def attach(rows: DataFrame, table: DataFrame, key: str, most: int, how: str = "i
     return dealt.join(repeated, [key, part], how).drop(part)
 
 
+#: A key is hot if more than one in so many rows have it, so there are at most as many hot keys.
+HOT = 10_000
+
+
+def join_weighted(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of two written tables. `table` has each key once, with the number of `rows` that have it in `weight`, `total` in all.
+
+    Rows with a hot key stay where they are and meet the few hot keys, which are sent to all tasks; the others are shuffled by key.
+    """
+    hot = table.where(F.col(weight) > total / HOT)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(weight) <= total / HOT), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 _PATHS: list[str] = []
 
 

@@ -125,16 +125,14 @@ def refine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split SEGMENTS rows into windows known to be repeated (id, th, lo, n) and representatives still to be compared.
 
     Representatives (SEGMENTS and k, the number of classes of their anchor) are one of each class, of anchors with at least two
-    classes of which one has a single member.
+    classes of which one has a single member. Rows of hot classes and anchors are never brought together.
     """
-    anchors = rows.groupBy("ah").agg(F.count("*").alias("rows"), F.min("sh").alias("s0"), F.max("sh").alias("s1")).where("rows > 1")
-    shared = common.cut(rows.join(anchors, "ah").select("ah", "sh", "id", "th", "lo", "n", "off", (F.col("s0") != F.col("s1")).alias("mixed")))
-    mixed = shared.where("mixed").drop("mixed")
-    classes = common.cut(mixed.groupBy("ah", "sh").agg(F.count("*").alias("members"), F.min(F.struct("id", "th", "lo")).alias("rep"), F.first("n").alias("n"), F.first("off").alias("off")))
-    several = classes.where("members > 1").select("ah", "sh")
-    known = shared.where("not mixed").select("id", "th", "lo", "n").union(mixed.join(several, ["ah", "sh"], "left_semi").select("id", "th", "lo", "n"))
-    open_groups = classes.groupBy("ah").agg(F.count("*").alias("k"), F.min("members").alias("least")).where("k > 1 and least = 1")
-    return known, classes.join(open_groups, "ah").select("ah", "sh", "rep.*", "n", "off", "k")
+    rows = common.cut(rows)
+    classes = common.cut(rows.groupBy("ah", "sh").agg(F.count("*").alias("members"), F.min(F.struct("id", "th", "lo")).alias("rep"), F.first("n").alias("n"), F.first("off").alias("off")))
+    several = classes.where("members > 1").select("ah", "sh", "members")
+    known = common.join_weighted(rows, several, ["ah", "sh"], "members", common.rows_of(rows)).select("id", "th", "lo", "n")
+    groups = common.cut(classes.groupBy("ah").agg(F.count("*").alias("k"), F.min("members").alias("least")).where("k > 1 and least = 1"))
+    return known, common.join_weighted(classes, groups, ["ah"], "k", common.rows_of(classes)).select("ah", "sh", "rep.*", "n", "off", "k")
 
 
 def listed(rows: DataFrame, *columns: str) -> DataFrame:
