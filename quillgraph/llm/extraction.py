@@ -3,9 +3,10 @@
 Markup is stripped to lines, one for each block element; boilerplate elements leave gaps of empty lines. What only a class, an id or a
 form marks as boilerplate is none if it wraps the page: if the one marked article is in it, or else most of the unlinked text. The text length of each
 window of lines is summed. Text surges where a window's sum becomes positive and dives where it falls to zero; each stretch between a surge
-and its dive is a candidate. If the page marks its article, the stretches within are the text; otherwise the stretch with the most text is, and
-from there on, whatever its length, each one that is near an accepted one: a few lines away, or in the same element or one beside it.
-Lines that are mostly links count as empty there if their element's text is mostly links too.
+and its dive is a candidate. The stretch with the most text is the start, and from there on, whatever its length, each one is text that is
+near an accepted one: a few lines away, or in the same element or one beside it. Lines that are mostly links count as empty if their
+element's text is mostly links too. Marks only weigh lines: text in a marked article counts tenfold, so its stretches are the text unless
+another stretch holds over ten times as much, as where only teasers are marked.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from quillgraph.llm import common
 WINDOW = 3
 #: Of an unmarked page: most empty lines between near stretches (a gap, or a few lines of links), and most share of link text.
 NEAR, LINKS = 2 * WINDOW, 0.6
+#: Weight of text outside the marked articles of a page that has some.
+OUTSIDE = 0.1
 
 # Fixed values of the HTML standard: elements by their role.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -82,6 +85,7 @@ class Page:
         self.piece: list[str] = []
         self.linked = 0
         self.open: list[tuple[str, int, int]] = []
+        self.names: Counter[str] = Counter()  # of the open elements
         self.holders, self.around = [0], {0: 0}  # numbers of the open elements that hold lines, and of the one around each
         self.opened = 0
         self.good = 0
@@ -147,7 +151,7 @@ class Page:
     def text(self, raw: str) -> None:
         if raw:
             self.piece.append(raw)
-            if any(name == "a" for name, _, _ in self.open):
+            if self.names["a"]:
                 self.linked += len(raw)
 
     def line(self) -> None:
@@ -183,6 +187,7 @@ class Page:
         self.good += role > 0
         self.opened += 1
         self.open.append((name, role, self.opened))
+        self.names[name] += 1
         if name in HOLDERS:
             self.around[self.opened] = self.holders[-1]
             self.holders.append(self.opened)
@@ -190,10 +195,11 @@ class Page:
     def close(self, name: str) -> None:
         if name in BLOCKS:
             self.line()
-        if not any(n == name for n, _, _ in self.open):
+        if not self.names[name]:
             return
         while self.open:
             last, role, _ = self.open.pop()
+            self.names[last] -= 1
             if last in HOLDERS:
                 self.holders.pop()
             if role:
@@ -232,7 +238,7 @@ def near_longest(found: list[tuple[int, int]], lengths: np.ndarray, held: list[i
     return [found[k] for k in sorted(accepted)]
 
 
-def main_text(source: str | None, window: int = WINDOW, links: float = LINKS) -> str:
+def main_text(source: str | None, window: int = WINDOW, links: float = LINKS, outside: float = OUTSIDE) -> str:
     """Main text of a page: its blocks in order, joined by line feeds; empty for a null or empty page, or if there is none."""
     if not source:
         return ""
@@ -240,14 +246,17 @@ def main_text(source: str | None, window: int = WINDOW, links: float = LINKS) ->
     lines = page.lines
     if not lines:
         return ""
-    marked = any(good and words for words, good, _, _ in lines)
     total, linked_in = Counter(), Counter()
     for words, _, linked, holder in lines:
         total[holder] += len(words)
         linked_in[holder] += linked
-    lengths = np.array([len(words) * (good if marked else linked <= links * len(words) or linked_in[holder] <= links * total[holder]) for words, good, linked, holder in lines])
-    found = stretches(lengths, window)
-    if not marked and found:
+    lengths = np.array([len(words) * (linked <= links * len(words) or linked_in[holder] <= links * total[holder]) for words, _, linked, holder in lines])
+    marked = np.array([len(words) * good for words, good, _, _ in lines])
+    others = np.where(marked > 0, 0, lengths)
+    best = max((int(others[a:b].sum()) for a, b in stretches(others, window)), default=0)
+    if marked.any() and marked.sum() >= outside * best:
+        lengths, found = marked, stretches(marked, window)
+    elif found := stretches(lengths, window):
         found = near_longest(found, lengths, [x[3] for x in lines], page.around)
     return "\n".join(lines[i][0] for a, b in found for i in range(a, b) if lengths[i])
 

@@ -1,9 +1,15 @@
 """Nearest neighbours and main text."""
 
+import os
+import re
+import time
+
 import numpy as np
 
 from quillgraph.llm import extraction, neighbours
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def test_recall_and_order(spark):
     rng = np.random.default_rng(1)
@@ -74,3 +80,59 @@ def test_wrappers_named_like_boilerplate():
         assert extraction.main_text(f"<body>{start}<nav>Home</nav><div><p>{long}</p></div>{ad}{end}</body>") == long
     for other in (f"<div class=comments>{long}</div>", f"<nav>{long}</nav>", f"<div hidden>{long}</div>", f"<div class=menu><a href=x>{long}</a></div>", f"<article class=x>{long}</article>{teaser}"):
         assert extraction.main_text(f"<body><div><p>Short text</p></div>{other}</body>") == (long if "class=x" in other else "Short text")
+
+
+def test_marks_do_not_decide():
+    """Without the marks, the given pages have the same text; where only teasers are marked, the text is the long stretch."""
+    import pyarrow.parquet as pq
+
+    if os.path.isdir(SF):
+        for page in pq.read_table(f"{SF}/pages.parquet").column("html").to_pylist():
+            bare = re.sub(r"<(/?)(article|main)\b", r"<\1div", page, flags=re.I)
+            assert extraction.main_text(bare) == extraction.main_text(page) != ""
+    long = "".join(f"<p>{'word ' * 60}{k}</p>" for k in range(5))
+    text = extraction.main_text(f"<body><div>{long}</div><nav>n</nav><article><a href=x>Teaser</a></article><article>More</article></body>")
+    assert text.split("\n") == [f"{'word ' * 60}{k}" for k in range(5)]
+
+
+def test_stretches_by_brute_force():
+    rng = np.random.default_rng(3)
+    for window in (1, 2, 3, 5):
+        for _ in range(50):
+            lengths = rng.integers(0, 4, 40) * (rng.random(40) < 0.4)
+            sums = [sum(lengths[max(0, i - window + 1) : i + 1]) for i in range(40)]
+            surges = [i for i in range(40) if sums[i] > 0 and (i == 0 or sums[i - 1] == 0)]
+            dives = [next((j for j in range(i, 40) if sums[j] == 0), 40) for i in surges]
+            assert extraction.stretches(lengths, window) == list(zip(surges, dives, strict=True))
+
+
+def test_unclosed_tags_take_linear_time():
+    def seconds(n):
+        start = time.perf_counter()
+        assert extraction.main_text("<b>x</i> " * n) and extraction.main_text("<b><i>x " * n)
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert min(seconds(16_000) for _ in range(3)) < 20 * min(seconds(2_000) for _ in range(3))
+
+
+def test_registered_queries(spark):
+    """The registered queries on given tables: recall against all pairs, and texts against the extraction of each page."""
+    import pyarrow.parquet as pq
+
+    if not os.path.isdir(SF):
+        return
+    pages = pq.read_table(f"{SF}/pages.parquet").to_pylist()
+    got = {r["page_id"]: r for r in extraction.op6_html_extraction(spark, SF).collect()}
+    assert len(got) == len(pages) and all(got[p["page_id"]]["text"] == extraction.main_text(p["html"]) and got[p["page_id"]]["n_chars"] == len(got[p["page_id"]]["text"]) for p in pages)
+    table = pq.read_table(f"{SF}/embeddings.parquet").to_pydict()
+    ids, x = np.array(table["vec_id"]), np.array(table["embedding"], np.float64)
+    found = neighbours.op7_nearest_neighbours(spark, SF).toPandas()
+    hit = total = 0
+    for q in ids[ids % 20 == 0]:
+        scores = x @ x[ids == q][0]
+        order = [i for i in ids[np.lexsort((ids, -scores))] if i != q][:20]
+        part = found[found["query_id"] == q].sort_values("rank")
+        assert part["rank"].tolist() == list(range(1, 21)) and np.allclose(part["score"], [scores[ids == i][0] for i in part["vec_id"]], rtol=1e-12)
+        hit, total = hit + len(set(order) & set(part["vec_id"])), total + 20
+    assert hit >= 0.9 * total
