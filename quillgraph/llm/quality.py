@@ -242,8 +242,9 @@ def by_scope(rows: DataFrame, groups: DataFrame, found) -> DataFrame:
     def complete(part: DataFrame, target: DataFrame) -> DataFrame:
         return common.cut(part.unionByName(target.join(part.select("g"), "g", "left_anti").withColumn("n", F.lit(0).cast("long"))))
 
-    every = found(rows.withColumn("g", F.lit("")), None).drop("g", "n")
-    target = common.cut(groups.select(language_key("g").alias("g")).distinct().crossJoin(F.broadcast(every)))  # `every` is one row
+    every = found(rows.withColumn("g", F.lit("")), None).drop("n").withColumnRenamed("g", "in")
+    languages = groups.select(language_key("g").alias("g")).distinct().withColumn("in", F.lit(""))
+    target = common.cut(languages.join(F.broadcast(every), "in").drop("in"))  # `every` is one row
     wide = complete(found(rows.withColumn("g", language_key("g")), target), target)
     wide = common.small(wide, SENT_GROUPS).drop("n").withColumnRenamed("g", "in")
     target = common.cut(groups.withColumn("in", language_key("g")).join(wide, "in").drop("in"))
