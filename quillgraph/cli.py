@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 import threading
 
 from quillgraph.plans.catalog import Catalog, recorded
 from quillgraph.plans.graph import PlanError
+from quillgraph.plans.live import Access
 from quillgraph.sinks import cursor
+from quillgraph.sources.auth import Secret
+from quillgraph.sources.calls import Call
+from quillgraph.sources.endpoints import Endpoints
+from quillgraph.sources.retry import FAN_OUT, PER_HOST, TRIES, RetryPolicy
 
 
 def session(app: str = "quillgraph"):
@@ -18,6 +24,17 @@ def session(app: str = "quillgraph"):
     return SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").getOrCreate()
 
 
+def access(a: argparse.Namespace) -> Access:
+    """Addresses from the arguments, credentials from the usual environment variables."""
+    given = lambda name: Secret(name, env=name)
+    where = json.loads(a.endpoints) if (a.endpoints or "").startswith("{") else a.endpoints
+    common = Call("", fan_out=a.fan_out, per_host=a.per_host, retry=RetryPolicy(a.tries))
+    return Access(
+        Endpoints(where), given("AWS_ACCESS_KEY_ID"), given("AWS_SECRET_ACCESS_KEY"), given("AWS_SESSION_TOKEN"), os.environ.get("AZURE_TENANT_ID", ""),
+        given("AZURE_CLIENT_ID"), given("AZURE_CLIENT_SECRET"), given("GOOGLE_ASSERTION"), common,
+    )
+
+
 def main(argv: list[str] | None = None, out=sys.stdout, spark=None) -> int:
     parser = argparse.ArgumentParser(prog="quillgraph")
     verbs = parser.add_subparsers(dest="verb", required=True)
@@ -27,7 +44,11 @@ def main(argv: list[str] | None = None, out=sys.stdout, spark=None) -> int:
     run = verbs.add_parser("run")
     run.add_argument("path", nargs="+", help="one method, or several to merge")
     run.add_argument("--args", default="{}", help="JSON object of parameters")
-    run.add_argument("--tables", required=True, help="folder of recorded responses, a JSON lines file for each table")
+    run.add_argument("--tables", help="folder of recorded responses, a JSON lines file for each table, instead of calls")
+    run.add_argument("--endpoints", help="one address for all services, or a JSON object from service to address")
+    run.add_argument("--fan-out", type=int, default=FAN_OUT, help="calls of a task at a time")
+    run.add_argument("--per-host", type=int, default=PER_HOST, help="calls of a worker to a host at a time")
+    run.add_argument("--tries", type=int, default=TRIES, help="tries of a call")
     run.add_argument("--limit", type=int, default=0)
     run.add_argument("--timeout", type=float, default=60.0)
     docs = verbs.add_parser("documents")
@@ -74,7 +95,7 @@ def main(argv: list[str] | None = None, out=sys.stdout, spark=None) -> int:
             timer = threading.Timer(a.timeout, spark.sparkContext.cancelJobGroup, [group])
             timer.start()
             try:
-                tables, args = recorded(spark, a.tables), json.loads(a.args)
+                tables, args = recorded(spark, a.tables) if a.tables else access(a), json.loads(a.args)
                 rows = catalog.new(spark, a.path[0], tables, args, a.limit) if len(a.path) == 1 else catalog.new_merged(spark, a.path, tables, args, a.limit)
                 for row in cursor(rows):
                     say(row)

@@ -5,6 +5,8 @@ Unknown is null, never false.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
@@ -123,3 +125,9 @@ BLANK = "«redacted»"
 def redact(line: Column) -> Column:
     line = F.regexp_replace(line, SECRET_FIELD, f'$1"{BLANK}"')
     return F.regexp_replace(F.regexp_replace(line, ASSERTION, f"assertion={BLANK}"), BEARER, f"Bearer {BLANK}")
+
+
+def redact_text(line: str) -> str:
+    """Like redact, for a text."""
+    line = re.sub(SECRET_FIELD, lambda m: f'{m[1]}"{BLANK}"', line)
+    return re.sub(BEARER, f"Bearer {BLANK}", re.sub(ASSERTION, f"assertion={BLANK}", line))

@@ -1,6 +1,6 @@
 """Resources and methods by dotted address: discovery, validation, composites, and runs over any source of responses.
 
-A method's legs read tables by name from a `Tables` provider: recorded responses, or the results of calls.
+A method's legs read tables by name from a `Tables` provider of recorded responses, or, given an `Access`, make the calls themselves.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from quillgraph.operators.joins import bind_flatten, inner_flatten
 from quillgraph.operators.project import const_columns, echo_inputs
 from quillgraph.operators.unnest import member_rows
 from quillgraph.plans.graph import FormClass, PlanError
+from quillgraph.plans.live import LIVE, Access
 
 #: table(name) gives the rows of one kind of response.
 Tables = Callable[[str], DataFrame]
@@ -51,6 +52,7 @@ class Method:
     build: Callable[[SparkSession, Tables, Mapping[str, str]], DataFrame] | None = None
     members: Sequence[str] = ()
     form: FormClass = FormClass.READ
+    live: Callable[[SparkSession, Access, Mapping[str, str]], DataFrame] | None = None  # by calls; those of the catalog are in plans/live.py
 
     def published(self) -> StructType:
         """The schema with the inputs as columns: required ones not null, marked as inputs."""
@@ -114,7 +116,7 @@ def aws_principals(spark: SparkSession, t: Tables, args: Mapping[str, str], acce
 
 
 def entra_identities(spark: SparkSession, t: Tables, args: Mapping[str, str], access: bool = False) -> DataFrame:
-    rows = const_columns(t("entra.users"), {"provider": "azure", "principal_type": "user"})
+    rows = const_columns(t("entra.users"), {"provider": "entra", "principal_type": "user"})
     if access:
         rows = bind_flatten(rows, t("entra.roles"), {"principal_id": "principal_id"}, keys=False)
         rows = rows.withColumn("scope", F.coalesce(F.col("scope") if "scope" in rows.columns else F.lit(None), F.lit(args.get("tenant")).cast("string")))
@@ -123,7 +125,7 @@ def entra_identities(spark: SparkSession, t: Tables, args: Mapping[str, str], ac
 
 def gcp_principals(spark: SparkSession, t: Tables, args: Mapping[str, str]) -> DataFrame:
     rows = inner_flatten(gcp_projects(spark, t, args), t("gcp.policies"), {"project": "project"}, keys=False)
-    rows = member_rows(rows).select("project", F.lit("gcp").alias("provider"), classify.principal_kind(F.col("kind")).alias("principal_type"), F.col("name").alias("principal"), F.col("name").alias("principal_id"), F.col("role").alias("grant"))
+    rows = member_rows(rows).select("project", F.lit("gcp").alias("provider"), classify.principal_kind(F.col("kind")).alias("principal_type"), F.col("name").alias("principal"), F.when(F.col("kind") == "unknown", F.col("name")).otherwise(F.concat("kind", F.lit(":"), "name")).alias("principal_id"), F.col("role").alias("grant"))
     return classify.conform(classify.normalise_principals(rows), classify.PRINCIPAL_SCHEMA)
 
 
@@ -209,23 +211,32 @@ class Catalog:
             if sum(bool(args.get(g)) for g in group) != 1:
                 raise PlanError(f"{method.path} needs exactly one of {', '.join(group)}")
 
-    def _legs(self, spark: SparkSession, path: str, tables: Tables, args: Mapping[str, str], above: tuple[str, ...] = ()) -> list[DataFrame]:
+    def _legs(self, spark: SparkSession, path: str, tables: Tables | Access, args: Mapping[str, str], above: tuple[str, ...] = ()) -> list[DataFrame]:
         if path in above:
             raise PlanError(f"composites contain each other: {' → '.join([*above, path])}")
         method = self.method(path)
         self.check(method, args)
         if not method.members:
-            return [method.build(spark, tables, args)]
+            return [self._leg(spark, method, tables, args)]
         own = {p.name: args[p.name] for p in method.params if args.get(p.name)}
         return [leg for m in method.members for leg in self._legs(spark, m, tables, own, (*above, path))]
 
-    def new(self, spark: SparkSession, path: str, tables: Tables, args: Mapping[str, Any] | None = None, limit: int | None = None) -> DataFrame:
+    def _leg(self, spark: SparkSession, method: Method, tables: Tables | Access, args: Mapping[str, str]) -> DataFrame:
+        if not isinstance(tables, Access):
+            return method.build(spark, tables, args)
+        live = method.live or LIVE.get(method.path)
+        if live is None:
+            raise PlanError(f"{method.path} is not made of reading calls; its results are recorded by the driver")
+        rows = live(spark, tables, args)
+        return classify.conform(rows, method.schema) if set(method.schema.names) <= set(rows.columns) and method.path != "aws.s3.buckets.encryption" else rows
+
+    def new(self, spark: SparkSession, path: str, tables: Tables | Access, args: Mapping[str, Any] | None = None, limit: int | None = None) -> DataFrame:
         """Rows of a method: all legs, one budget, then the inputs as columns."""
         args = {k: str(v) for k, v in (args or {}).items() if v is not None}
         rows = budget(merge(self._legs(spark, path, tables, args)), limit)
         return echo_inputs(rows, {p.name: args.get(p.name) for p in self.method(path).params})
 
-    def new_merged(self, spark: SparkSession, paths: Sequence[str], tables: Tables, args: Mapping[str, Any] | None = None, limit: int | None = None) -> DataFrame:
+    def new_merged(self, spark: SparkSession, paths: Sequence[str], tables: Tables | Access, args: Mapping[str, Any] | None = None, limit: int | None = None) -> DataFrame:
         """The named methods as one run, under one budget, with the inputs of all of them."""
         args = {k: str(v) for k, v in (args or {}).items() if v is not None}
         rows = budget(merge([leg for p in paths for leg in self._legs(spark, p, tables, args)]), limit)

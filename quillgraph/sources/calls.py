@@ -6,14 +6,17 @@ same client, whose transport is HTTP or a table of recorded responses.
 
 from __future__ import annotations
 
+import base64
 import json
 import logging
+import pickle
 import re
+import threading
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillgraph.functions import documents
-from quillgraph.sources.retry import PER_HOST, Admission, RetryPolicy, host_key
+from quillgraph.functions.classify import redact_text
+from quillgraph.sources.retry import FAN_OUT, PER_HOST, RetryPolicy, admission, host_key
 
 log = logging.getLogger("quillgraph.calls")
 RESPONSE = "status string, url string, raw string"
@@ -60,6 +64,8 @@ class Call:
     require_ok: bool = False
     retry: RetryPolicy | None = None
     per_host: int = PER_HOST
+    fan_out: int = FAN_OUT  # calls of one task at a time
+    sign: Any = None  # a signer with headers(method, url, headers, body); texts of its `region` are filled in too
     recorded: str | None = None  # responses instead of the network: JSON lines, or the path of some
     verify: bool = True
     timeout: float = 60.0
@@ -103,6 +109,9 @@ def build(call: Call, row: Mapping[str, Any], more: Mapping[str, str] | None = N
         headers.setdefault("Content-Type", call.media)
     else:
         data = body.encode() if isinstance(body, str) and body else None
+    if call.sign is not None:
+        signer = replace(call.sign, region=fill(call.sign.region, row)) if hasattr(call.sign, "region") else call.sign
+        headers = signer.headers(call.method, url, headers, data or b"")
     return Request(call.method, url, headers, data)
 
 
@@ -144,14 +153,17 @@ def recorded_transport(source: str) -> Transport:
         r = json.loads(line)
         found.setdefault((r.get("method", "GET"), r["url"]), []).append(r)
 
+    lock = threading.Lock()
+
     def send(request: Request) -> Response:
-        rows = found.get((request.method, request.url), [])
-        rows = [r for r in rows if "body" not in r or r["body"] == (request.body or b"").decode()]
-        if not rows:
-            return Response(404, request.url, "not recorded")
-        r = rows[0]
-        if len(rows) > 1:
-            found[request.method, request.url].remove(r)
+        with lock:
+            rows = found.get((request.method, request.url), [])
+            rows = [r for r in rows if "body" not in r or r["body"] == (request.body or b"").decode()]
+            if not rows:
+                return Response(404, request.url, "not recorded")
+            r = rows[0]
+            if len(rows) > 1:
+                found[request.method, request.url].remove(r)
         return Response(int(r["status"]), request.url, r["raw"], r.get("headers", {}))
 
     return send
@@ -163,7 +175,7 @@ class Client:
     def __init__(self, call: Call, transport: Transport | None = None, sleep: Callable[[float], None] = time.sleep):
         self.call, self.sleep = call, sleep
         self.transport = transport or (recorded_transport(call.recorded) if call.recorded else http_transport(call.timeout, call.verify))
-        self.admission = Admission(call.per_host)
+        self.admission = admission(call.per_host)
 
     def send(self, request: Request) -> Response:
         policy, last = self.call.retry, 0.0
@@ -173,12 +185,12 @@ class Client:
                 try:
                     response = self.transport(request)
                 except OSError as e:
-                    log.info("http %s %s → %s", request.method, request.url, e)
+                    log.info("http %s %s → %s", request.method, redact_text(request.url), redact_text(str(e)))
                     if final or not policy.retried(None):
                         raise
                     wait, last = policy.delay(attempt, last, None)
                 else:
-                    log.info("http %s %s → %s%s", request.method, request.url, response.status, f" {response.raw}" if response.status >= 400 else "")
+                    log.info("http %s %s → %s%s", request.method, redact_text(request.url), response.status, f" {redact_text(response.raw)}" if response.status >= 400 else "")
                     if final or not policy.retried(response.status):
                         return response
                     wait, last = policy.delay(attempt, last, next((v for k, v in response.headers.items() if k.lower() == "retry-after"), None))
@@ -193,7 +205,7 @@ class Client:
             response = self.send(request)
             ok = 200 <= response.status < 300
             if (self.call.require_ok or c.kind == "poll") and not ok:
-                raise RuntimeError(f"status {response.status} from {response.url}: {response.raw[:500]}")
+                raise RuntimeError(f"status {response.status} from {response.url}: {redact_text(response.raw[:500])}")
             if c.kind == "poll":
                 polled += 1
                 if documents.text_at(documents.decoder(c.media)(response.raw), c.path) == c.done:
@@ -212,40 +224,80 @@ class Client:
             request = replace(request, url=following) if c.kind == "follow" else build(self.call, row, {c.param: following})
 
 
-def call_rows(rows: DataFrame, call: Call, bound: Mapping[str, str], how: str = "left", delay: float = 0.0) -> DataFrame:
-    """Each row with each response to its request (status, url, raw); with 'left', rows without a response stay.
+def mapped_calls(rows: DataFrame, call: Call, bound: Mapping[str, str], names: Sequence[str], expand: Callable[[list[Response]], list[tuple]], how: str = "left", delay: float = 0.0) -> DataFrame:
+    """Each row with the text columns `names` that `expand` makes of the responses to its request; with 'left', rows without any stay.
 
-    `bound` maps names in the templates to columns; all other columns can be named too. Rows are sent as they are partitioned:
-    calls run side by side in as many tasks, one after another within a task.
+    `bound` maps names in the templates to columns; all other columns can be named too. Calls run side by side in as many tasks as there are
+    partitions, and up to `fan_out` at a time within a task, in the order of the rows; the worker admits `per_host` of them to a host.
     """
     import pyarrow as pa
+    from concurrent.futures import ThreadPoolExecutor
     from pyspark.sql.types import StringType, StructType
 
-    kept = [c for c in rows.columns if c not in ("status", "url", "raw")]
+    kept = [c for c in rows.columns if c not in names]
     schema = StructType([rows.schema[c] for c in kept])
-    for name in ("status", "url", "raw"):
+    for name in names:
         schema = schema.add(name, StringType())
 
     def work(batches):
         client = Client(call)
-        for batch in batches:
-            source = batch.to_pylist()
-            at, status, url, raw = [], [], [], []
-            for k, row in enumerate(source):
-                if delay:
-                    time.sleep(delay)
-                got = list(client.responses(row | {t: row.get(s) for t, s in bound.items()}))
-                for r in got or ([None] if how == "left" else []):
-                    at.append(k)
-                    status.append(str(r.status) if r else None)
-                    url.append(r.url if r else None)
-                    raw.append(r.raw if r else None)
-            taken = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[taken.column(taken.schema.get_field_index(c)) for c in kept], *[pa.array(x, pa.string()) for x in (status, url, raw)]], names=[*kept, "status", "url", "raw"])
+
+        def one(row: dict) -> list[tuple]:
+            if delay:
+                time.sleep(delay)
+            return expand(list(client.responses(row | {t: row.get(s) for t, s in bound.items()})))
+
+        with ThreadPoolExecutor(max(1, call.fan_out)) as pool:
+            for batch in batches:
+                at, new = [], []
+                for k, found in enumerate(pool.map(one, batch.to_pylist())):
+                    found = found or ([(None,) * len(names)] if how == "left" else [])
+                    at += [k] * len(found)
+                    new += found
+                taken = batch.take(pa.array(at, pa.int64()))
+                columns = [taken.column(taken.schema.get_field_index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array([x[i] for x in new], pa.string()) for i in range(len(names))]], names=[*kept, *names])
 
     return rows.mapInArrow(work, schema)
 
 
+def call_rows(rows: DataFrame, call: Call, bound: Mapping[str, str], how: str = "left", delay: float = 0.0) -> DataFrame:
+    """Each row with each response to its request (status, url, raw)."""
+    return mapped_calls(rows, call, bound, ("status", "url", "raw"), lambda got: [(str(r.status), r.url, r.raw) for r in got], how, delay)
+
+
+def call_items(rows: DataFrame, call: Call, row_path: str, columns: Mapping[str, str], how: str = "left", bound: Mapping[str, str] | None = None) -> DataFrame:
+    """Each row with the items of all pages of its list call: the objects at the dotted `row_path`, their texts at dotted paths as columns,
+    null where there is none. Any status but 2xx is an error."""
+    media, names = call.continuation.media, tuple(columns)
+
+    def expand(got: list[Response]) -> list[tuple]:
+        items = [x for r in got for x in documents.items_at(documents.decoder(media)(r.raw), "$." + row_path if row_path else "")]
+        return [tuple(documents.text_at(x, p) or None for p in columns.values()) for x in items]
+
+    return mapped_calls(rows, replace(call, require_ok=True), bound or {}, names, expand, how)
+
+
+def call_fields(rows: DataFrame, call: Call, cases: Mapping[str, Mapping[str, str]], literals: Mapping[str, Mapping[str, str]] | None = None, default: Mapping[str, str] | None = None, bound: Mapping[str, str] | None = None) -> DataFrame:
+    """Each row with texts of the one response to its call, by status: `cases` gives dotted paths, `literals` values as they are.
+    For any other status the values of `default`, or an error without one."""
+    literals, media = literals or {}, call.continuation.media
+    names = tuple(dict.fromkeys(c for case in (*cases.values(), *literals.values(), default or {}) for c in case))
+
+    def expand(got: list[Response]) -> list[tuple]:
+        r = got[-1]
+        status = str(r.status)
+        if status not in cases and status not in literals and default is None:
+            raise RuntimeError(f"unexpected status {status} from {r.url}: {redact_text(r.raw[:500])}")
+        found = dict(literals.get(status, {} if status in cases else default or {}))
+        if status in cases:
+            document = documents.decoder(media)(r.raw)
+            found |= {c: documents.text_at(document, p) or None for c, p in cases[status].items()}
+        return [tuple(found.get(c) for c in names)]
+
+    return mapped_calls(rows, call, bound or {}, names, expand)
+
+
 def send_requests(requests: DataFrame, call: Call) -> DataFrame:
     """One response for each request row (method, url, headers map, body text), pulled from upstream."""
 
@@ -291,16 +343,23 @@ class ExchangeReader(DataSourceReader):
 
 
 def call_to_json(call: Call) -> str:
-    held = {k: getattr(call, k) for k in call.__dataclass_fields__ if k not in ("retry", "continuation")}
-    held |= {"query": dict(call.query), "headers": dict(call.headers), "continuation": asdict(call.continuation), "tries": call.retry.tries if call.retry else 0}
+    """A call as options of a reader. A retry policy goes whole, as pickled by Spark's own pickler; signed calls hold secrets and do not go."""
+    from pyspark import cloudpickle
+
+    if call.sign is not None:
+        raise ValueError("a signed call is sent for rows, not read: options of a reader are visible in plans")
+    held = {k: getattr(call, k) for k in call.__dataclass_fields__ if k not in ("retry", "continuation", "sign")}
+    held |= {"query": dict(call.query), "headers": dict(call.headers), "continuation": asdict(call.continuation)}
+    if call.retry:
+        held["policy"] = base64.b64encode(cloudpickle.dumps(call.retry)).decode()
     return json.dumps(held)
 
 
 def call_from_json(text: str) -> Call:
     held = json.loads(text)
-    tries = held.pop("tries", 0)
+    policy = held.pop("policy", None)
     held["continuation"] = Continuation(**held.get("continuation", {}))
-    return Call(**held, retry=RetryPolicy(tries) if tries else None)
+    return Call(**held, retry=pickle.loads(base64.b64decode(policy)) if policy else None)
 
 
 def read_call(spark: SparkSession, call: Call, scopes: list[dict] | None = None) -> DataFrame:

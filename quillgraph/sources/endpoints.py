@@ -33,6 +33,10 @@ class Endpoints:
         if isinstance(self.override, Mapping) and (unknown := sorted(set(self.override) - set(self.services))):
             raise ValueError(f"unknown services: {', '.join(unknown)}")
 
+    def overridden(self, service: str) -> bool:
+        """Whether the service has another address than its usual one."""
+        return isinstance(self.override, str) or bool(self.override) and service in self.override
+
     def url(self, service: str, **values: str) -> str:
         if service not in self.services:
             raise ValueError(f"unknown service {service!r}; known: {', '.join(sorted(self.services))}")

@@ -14,7 +14,7 @@ from urllib.parse import urlsplit
 # Statuses that are tried again, and the usual figures.
 RETRIED = (429, 502, 503, 504)
 TRIES, BASE, CAP, RATE, BURST = 4, 0.25, 30.0, 20.0, 5
-PER_HOST = 8
+PER_HOST, FAN_OUT = 8, 16
 
 
 def retry_after(value: str | None, now: float | None = None) -> float | None:
@@ -51,6 +51,13 @@ class Rate:
     def __init__(self, rate: float = RATE, burst: int = BURST, clock: Callable[[], float] = time.monotonic):
         self.rate, self.burst, self.clock, self.tokens, self.at, self.lock = rate, burst, clock, float(burst), clock(), threading.Lock()
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "lock"}
+
+    def __setstate__(self, held):
+        self.__dict__.update(held)
+        self.lock = threading.Lock()
+
     def wait(self) -> float:
         with self.lock:
             now = self.clock()
@@ -91,6 +98,14 @@ class Admission:
             yield
 
 
+_ADMISSIONS: dict[int, Admission] = {}
+
+
+def admission(most: int) -> Admission:
+    """The one admission with this bound that all tasks of a worker share."""
+    return _ADMISSIONS.setdefault(most, Admission(most))
+
+
 def host_key(url: str) -> str:
     parts = urlsplit(url)
     return f"{parts.scheme}://{parts.netloc}"
