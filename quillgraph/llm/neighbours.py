@@ -217,7 +217,7 @@ def index(rows: DataFrame, keep: int, shard_size: int = SHARD, neighbours: int =
             yield {"nodes": [len(order)], "ids": [int(arrays["bounds"][-1])]}
 
     parts = common.map_batches(rows.select(key, vector), collapse, "shard int, vector binary, ids array<long>")
-    common.map_batches(parts.repartition(shards, "shard"), assemble, "nodes long, ids long").agg(F.sum("nodes")).collect()
+    common.map_batches(parts.repartitionById(shards, F.col("shard")), assemble, "nodes long, ids long").agg(F.sum("nodes")).collect()
     return Index(path, shards, width)
 
 

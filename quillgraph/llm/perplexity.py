@@ -130,7 +130,7 @@ def count_words(texts: DataFrame, layout: Layout) -> DataFrame:
             yield {"word": [None, *words[at[often]].astype(np.int64).tolist()], "n": [int(n.sum()), *n[often].tolist()], "distinct": [len(n), *[0] * len(often)]}
 
     parts = common.map_batches(texts, count, "shard int, a binary, b binary")
-    return common.map_batches(parts.repartition(layout.shards, "shard"), merge, "word long, n long, distinct long")
+    return common.map_batches(parts.repartitionById(layout.shards, F.col("shard")), merge, "word long, n long, distinct long")
 
 
 def count_pairs(texts: DataFrame, layout: Layout) -> DataFrame:
@@ -178,7 +178,7 @@ def count_pairs(texts: DataFrame, layout: Layout) -> DataFrame:
         return found
 
     parts = common.map_batches(texts, count, "shard int, a binary, b binary, c binary, d binary")
-    return common.map_batches(parts.repartition(layout.shards, "shard"), merge, "shard int, a binary, b binary, context long, f0 long, f1 long, f2 long, f3 long")
+    return common.map_batches(parts.repartitionById(layout.shards, F.col("shard")), merge, "shard int, a binary, b binary, context long, f0 long, f1 long, f2 long, f3 long")
 
 
 def count_continuations(ends: DataFrame, layout: Layout) -> DataFrame:
@@ -191,7 +191,7 @@ def count_continuations(ends: DataFrame, layout: Layout) -> DataFrame:
             common.write_whole(layout.file("vn", shard), n)
             yield {"total": [int(n.sum())], **{f"f{k}": [x] for k, x in enumerate(count_of_counts(n))}, "more": [int((n > 2).sum())]}
 
-    return common.map_batches(ends.repartition(layout.shards, "shard"), merge, "total long, f0 long, f1 long, f2 long, f3 long, more long")
+    return common.map_batches(ends.repartitionById(layout.shards, F.col("shard")), merge, "total long, f0 long, f1 long, f2 long, f3 long, more long")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
