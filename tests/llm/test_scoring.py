@@ -164,8 +164,8 @@ def test_small_groups_are_judged_by_a_wider_one(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
     stats = quality.with_statistics(df)
     fitted = quality.fit(stats)
-    assert quality.judge(stats, fitted, quality.cut_of(stats, fitted)).where("__distance is null").count() == 0
-    assert {r["doc_id"] for r in quality.keep_good(df).collect()} == set(range(242))
+    judged = quality.judge(stats, fitted, quality.cut_of(stats, fitted)).collect()
+    assert all(r["__distance"] is not None for r in judged) and {r["doc_id"] for r in judged if r["__kept"]} == set(range(242))
 
 
 def test_cut_between_clean_rows_and_table_lines(spark):
@@ -177,10 +177,11 @@ def test_cut_between_clean_rows_and_table_lines(spark):
     stats = quality.with_statistics(df)
     fitted = quality.fit(stats)
     cut = quality.cut_of(stats, fitted)
-    got = {r["doc_id"]: r["__distance"] for r in quality.judge(stats, fitted, cut).collect()}
+    judged = quality.judge(stats, fitted, cut).collect()
+    got = {r["doc_id"]: r["__distance"] for r in judged}
     assert max(got[k] for k in range(300)) < cut < min(got[1000 + k] for k in range(15))
     assert 1.5 < np.median([got[k] for k in range(300)]) < 5
-    assert {r["doc_id"] for r in quality.keep_good(df).collect()} == set(range(300))
+    assert {r["doc_id"] for r in judged if r["__kept"]} == set(range(300))
 
 
 def test_least_dense():
