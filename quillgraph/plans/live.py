@@ -141,6 +141,11 @@ def azure_subnets(spark: SparkSession, a: Access, args: Mapping[str, str]) -> Da
     return azure_list(rows, a, "{vnet_id}/subnets", NETWORKS, {"subnet_id": "id", "subnet_name": "name", "address_prefix": "properties.addressPrefix"})
 
 
+def once(df: DataFrame) -> DataFrame:
+    """The rows of a round of calls, checkpointed from a cache, so that no call is made again for the checkpoint."""
+    return df.persist().checkpoint(eager=True)
+
+
 def google_projects(spark: SparkSession, a: Access, args: Mapping[str, str]) -> DataFrame:
     """(token, project): the one given, or all below an organisation, whose folders are descended to."""
     rows = google_rows(spark, a)
@@ -149,7 +154,7 @@ def google_projects(spark: SparkSession, a: Access, args: Mapping[str, str]) ->
     base = f"{a.endpoints.url('gcp.resourcemanager')}/v3"
     folders = a.call(f"{base}/folders", query={"parent": "{node}"}, headers=BEARER, continuation=PAGES)
     top = rows.withColumn("node", F.lit(f"organizations/{args['google_org']}")).select("token", "node")
-    tree = fixpoint(top, lambda frontier: call_items(frontier.withColumnRenamed("node", "parent"), replace(folders, query={"parent": "{parent}"}), "folders", {"node": "name"}, "inner"), ["node"], max_iterations(64))
+    tree = fixpoint(top, lambda frontier: call_items(frontier.withColumnRenamed("node", "parent"), replace(folders, query={"parent": "{parent}"}), "folders", {"node": "name"}, "inner"), ["node"], max_iterations(64), once)
     return call_items(tree.rows, a.call(f"{base}/projects", query={"parent": "{node}"}, headers=BEARER, continuation=PAGES), "projects", {"project": "projectId"}, "inner").drop("node")
 
 
