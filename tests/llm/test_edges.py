@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import types as T
 
-from quillgraph.llm import extraction, language, licenses, mixing, neardup, neighbours, packing, perplexity, quality, repeats
+from quillgraph.llm import common, extraction, language, licenses, mixing, neardup, neighbours, packing, perplexity, quality, repeats
 
 #: Columns that operators use as names of their own.
 CLASH = ("mix", "__list", "node", "size", "g", "id", "th", "list", "text_2")
@@ -103,3 +103,13 @@ def test_neighbours(spark):
     assert got == [(0, 1, 6, 1.0), (0, 2, 6, 1.0), (0, 3, 20, 1.0), (20, 1, 0, 1.0), (20, 2, 6, 1.0), (20, 3, 6, 1.0)]
     empty = spark.createDataFrame([], schema)
     assert neighbours.nearest(df, neighbours.index(empty, 4), 3).count() == 0 and neighbours.nearest(empty, found, 3).count() == 0
+
+
+def test_hot_keys_stay_where_they_are(spark, monkeypatch):
+    """The join with its hot keys sent gives the rows of a plain one, and so does a table dealt in parts."""
+    monkeypatch.setattr(common, "HOT", 3)
+    rows = common.cut(spark.createDataFrame([("a" if k % 2 else f"k{k % 7}", k) for k in range(60)], "key string, n int"))
+    table = common.cut(rows.groupBy("key").count())
+    plain = sorted(map(tuple, rows.join(table, "key").collect()))
+    assert common.rows_of(rows) == 60 and sorted(map(tuple, common.join_weighted(rows, table, ["key"], "count", 60).collect())) == plain
+    assert sorted(map(tuple, common.attach(rows, table, "key", 0).collect())) == plain == sorted(map(tuple, common.attach(rows, table, "key", 100).collect()))
