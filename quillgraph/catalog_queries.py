@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from quillgraph import sinks
 from quillgraph.functions import classify, documents
 from quillgraph.operators import combine, fixpoint, joins, project, unnest
+from quillgraph.plans.catalog import BUCKETS, Catalog, Method, Param
 from quillgraph.plans.graph import Beta, Exchange, FormClass, Plan
 from quillgraph.plans.lower import compose, compose_all
 from quillgraph.sources import tables
-from quillgraph.sources.calls import Call, Continuation, call_to_json, read_call
+from quillgraph.sources.calls import Call, Continuation, call_fields, call_items, call_rows, call_to_json, list_rows, read_call, send_requests
+from quillgraph.sources.retry import Rate, RetryPolicy, constant
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -267,7 +269,7 @@ def r_fixpoint(spark, sf):
     n = t(spark, sf, "customer").count()
     edges = t(spark, sf, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("a"), ((F.col("c_custkey") * 7 + 3) % n + 1).alias("b"))
     seed = spark.range(1).select(F.lit(1).cast("long").alias("node"))
-    return fixpoint.fixpoint(seed, lambda f: f.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")), ["node"]).rows
+    return fixpoint.fixpoint(seed, lambda f: f.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")), ["node"], together=fixpoint.TOGETHER).rows
 
 
 @query("WITH RECURSIVE tree AS (SELECT 1::BIGINT AS node, 'token' AS token, 0 AS depth UNION ALL SELECT s_suppkey, token, depth + 1 FROM tree JOIN supplier ON (s_suppkey - s_suppkey % 4) // 4 + 1 = node AND s_suppkey > node WHERE depth < 3) SELECT DISTINCT node, token FROM tree")
@@ -300,6 +302,167 @@ def x_poll(spark, sf):
     return read_call(spark, call).select(documents.path_text(doc, "status").alias("state"), documents.path_value(doc, "polls", "int").alias("polls"))
 
 
+@query("SELECT n_nationkey, n_name FROM nation")
+def x_follow(spark, sf):
+    names = [(r["n_nationkey"], r["n_name"]) for r in t(spark, sf, "nation").orderBy("n_nationkey").collect()]
+    pages, url = [names[k : k + 7] for k in range(0, len(names), 7)], "http://host/nations"
+    address = [url, *[f"http://host/more/{k}" for k in range(1, len(pages))], ""]
+    rows = [{"url": address[k], "status": 200, "raw": json.dumps({"value": [{"key": a, "name": b} for a, b in page], "nextLink": address[k + 1]})} for k, page in enumerate(pages)]
+    found = read_call(spark, Call(url, continuation=Continuation("follow", "nextLink"), recorded=_recorded(rows)))
+    return list_rows(found, "value", {"n_nationkey": ("key", "int"), "n_name": "name"})
+
+
+@query("SELECT r_regionkey, r_name, '200' AS status FROM region")
+def x_single(spark, sf):
+    regions = [r.asDict() for r in t(spark, sf, "region", "r_regionkey", "r_name").collect()]
+    rows = [{"url": f"http://host/region/{r['r_regionkey']}", "status": 200, "raw": json.dumps(r)} for r in regions]
+    found = read_call(spark, Call("http://host/region/{r_regionkey}", recorded=_recorded(rows)), [{"r_regionkey": r["r_regionkey"]} for r in regions])
+    doc = documents.json_document(F.col("raw"))
+    return found.select(documents.path_value(doc, "r_regionkey", "int").alias("r_regionkey"), documents.path_text(doc, "r_name").alias("r_name"), "status")
+
+
+@query("SELECT r_regionkey, r_name, n_nationkey::VARCHAR AS nation, n_name AS name FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 4 <> 0")
+def x_items(spark, sf):
+    nations = [r.asDict() for r in t(spark, sf, "nation", "n_regionkey", "n_nationkey", "n_name").where("n_nationkey % 4 <> 0").collect()]
+    lists = {k: [{"key": n["n_nationkey"], "at": {"name": n["n_name"]}} for n in nations if n["n_regionkey"] == k] for k in range(5)}
+    rows = [{"url": f"http://host/regions/{k}/nations", "status": 200, "raw": json.dumps({"items": items})} for k, items in lists.items()]
+    call = Call("http://host/regions/{r_regionkey}/nations", recorded=_recorded(rows))
+    return call_items(t(spark, sf, "region", "r_regionkey", "r_name"), call, "items", {"nation": "key", "name": "at.name"}, "left")
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_name WHEN 1 THEN 'none' ELSE 'closed' END AS answer FROM nation")
+def x_fields(spark, sf):
+    nations = [(r["n_nationkey"], r["n_name"]) for r in t(spark, sf, "nation").collect()]
+    rows = [{"url": f"http://host/nation/{k}", "status": (200, 404, 403)[k % 3], "raw": json.dumps({"a": [{"name": n}]})} for k, n in nations]
+    return call_fields(t(spark, sf, "nation", "n_nationkey"), Call("http://host/nation/{n_nationkey}", recorded=_recorded(rows)), {"200": {"answer": "a.name"}}, {"404": {"answer": "none"}}, {"answer": "closed"})
+
+
+@query("SELECT n_nationkey, '200' AS status, n_name AS body FROM nation")
+def x_retry(spark, sf):
+    nations = [(r["n_nationkey"], r["n_name"]) for r in t(spark, sf, "nation").collect()]
+    rows = [{"url": f"http://host/busy/{k}", "status": s, "raw": n, "headers": {"Retry-After": "0"}} for k, n in nations for s in ([503, 429, 200] if k % 2 else [200])]
+    call = Call("http://host/busy/{n_nationkey}", recorded=_recorded(rows), retry=RetryPolicy(3, backoff=constant(0.0), governor=Rate(1000.0, 100)))
+    return call_rows(t(spark, sf, "nation", "n_nationkey"), call, {}).select("n_nationkey", "status", F.col("raw").alias("body"))
+
+
+@query("SELECT 'http://host/send/' || s_suppkey::VARCHAR AS url, '201' AS status, s_name AS raw FROM supplier WHERE s_suppkey <= 50")
+def x_send(spark, sf):
+    rows = t(spark, sf, "supplier", "s_suppkey", "s_name").where("s_suppkey <= 50")
+    held = [{"method": "POST", "url": f"http://host/send/{r['s_suppkey']}", "body": r["s_name"], "status": 201, "raw": r["s_name"]} for r in rows.collect()]
+    requests = rows.select(F.lit("POST").alias("method"), F.concat(F.lit("http://host/send/"), F.col("s_suppkey").cast("string")).alias("url"), F.create_map(F.lit("a"), F.lit("b")).alias("headers"), F.col("s_name").alias("body"))
+    return send_requests(requests, Call("", recorded=_recorded(held))).select("url", "status", "raw")
+
+
+@query("SELECT s_suppkey, s_name AS raw, 'raw' AS tag FROM supplier")
+def p_response(spark, sf):
+    return project.response_columns(t(spark, sf, "supplier", "s_suppkey", "s_name").withColumnRenamed("s_name", "body")).withColumnRenamed("_tag", "tag")
+
+
+@query("SELECT c_custkey, 2::INTEGER AS n, 'Bearer ' || c_name AS auth, 'json' AS accept FROM customer")
+def p_header(spark, sf):
+    headers = F.create_map(F.lit("authorization"), F.lit("old"), F.lit("Accept"), F.lit("json"))
+    rows = t(spark, sf, "customer", "c_custkey", "c_name").withColumn("request", F.struct(F.lit("http://host/").alias("url"), headers.alias("headers")))
+    sent = rows.withColumn("h", project.add_header(F.col("request"), "Authorization", F.concat(F.lit("Bearer "), "c_name"))["headers"])
+    return sent.select("c_custkey", F.size("h").alias("n"), F.col("h")["Authorization"].alias("auth"), F.col("h")["Accept"].alias("accept"))
+
+
+@query("""SELECT '{"key":' || n_nationkey::VARCHAR || ',"name":"' || n_name || '"}' AS value FROM nation""")
+def u_list_lines(spark, sf):
+    lists = t(spark, sf, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))).alias("items"))
+    return sinks.list_lines(lists, "items")
+
+
+@query("""SELECT 'nation: {"n_nationkey":' || n_nationkey::VARCHAR || ',"token":"«redacted»"}' AS value FROM nation""")
+def k_log_lines(spark, sf):
+    return sinks.log_lines(t(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("token")), "nation")
+
+
+@query("""SELECT '{"r_regionkey":' || r_regionkey::VARCHAR || ',"r_name":"' || r_name || '"}' AS line FROM region""")
+def s_lines(spark, sf):
+    path = fixpoint.shared_path(spark, "lines")
+    sinks.write_json_lines(t(spark, sf, "region", "r_regionkey", "r_name"), path)
+    return tables.lines(spark, path)
+
+
+@query("SELECT n_nationkey, n_name, 'eu' AS region FROM nation WHERE n_regionkey = 3")
+def s_seed(spark, sf):
+    plan = Plan([node(sf, "nation", "n_regionkey", "n_nationkey", "n_name", inputs=("n_regionkey",))], inputs={"nation": {"n_regionkey": 3, "region": "eu"}})
+    return compose(spark, plan).select("n_nationkey", "n_name", "region")
+
+
+@query("SELECT * FROM (VALUES ('max_iterations', 6), ('max_emitted', 9), ('any_of', 4), ('all_of', 9), ('deadline', 1)) AS p(policy, node_count) JOIN (SELECT unnest(range(9)) AS node) ON node < node_count")
+def r_policies(spark, sf):
+    step = lambda f: f.select((F.col("node") + 1).alias("node"))
+    clock = iter(range(100))
+    policies = {
+        "max_iterations": fixpoint.max_iterations(5), "max_emitted": fixpoint.max_emitted(9),
+        "any_of": fixpoint.any_of(fixpoint.max_emitted(90), fixpoint.max_iterations(3)),
+        "all_of": fixpoint.all_of(fixpoint.max_emitted(9), fixpoint.max_iterations(2)),
+        "deadline": fixpoint.deadline(0.5, lambda: next(clock)),
+    }
+    seed = spark.range(1).withColumnRenamed("id", "node")
+    runs = [(name, fixpoint.fixpoint(seed, step, ["node"], policy)) for name, policy in policies.items()]
+    return combine.merge([run.rows.select(F.lit(name).alias("policy"), F.lit(sum(run.counts)).alias("node_count"), "node") for name, run in runs])
+
+
+STORES_SQL = """
+SELECT provider, name, encryption_status,
+  CASE WHEN name IS NOT NULL THEN CASE provider WHEN 'aws' THEN CASE WHEN encryption_status = 'AES256' THEN 'provider-managed' ELSE 'customer-managed' END
+    WHEN 'azure' THEN 'unknown' ELSE 'customer-managed' END END AS encryption_class,
+  CASE WHEN name IS NOT NULL THEN CASE provider WHEN 'aws' THEN true WHEN 'azure' THEN container_public <> 'None' ELSE true END END AS public,
+  CASE WHEN name IS NOT NULL THEN CASE provider WHEN 'aws' THEN c_custkey % 4 = 0 WHEN 'gcp' THEN false END END AS versioning,
+  CASE WHEN name IS NOT NULL AND provider = 'gcp' THEN true END AS https,
+  CASE WHEN name IS NOT NULL THEN c_custkey % 5 <> 0 END AS access_logging,
+  CASE WHEN name IS NOT NULL AND c_custkey % 5 <> 0 THEN 'log' END AS access_log_target
+FROM (SELECT c_custkey, provider, encryption_status, container_public,
+    CASE WHEN provider <> 'azure' THEN c_name WHEN c_custkey % 7 <> 0 THEN c_name || '/box' END AS name
+  FROM (SELECT c_custkey, c_name, ['aws', 'azure', 'gcp'][(c_custkey % 3 + 1)::INT] AS provider, CASE WHEN c_custkey % 2 = 0 THEN 'AES256' ELSE 'aws:kms' END AS encryption_status,
+    CASE WHEN c_custkey % 2 = 0 THEN 'None' ELSE 'Blob' END AS container_public FROM customer))
+"""
+
+
+@query(STORES_SQL)
+def f_stores(spark, sf):
+    k = F.col("c_custkey")
+    rows = t(spark, sf, "customer", "c_custkey", "c_name").select(
+        F.element_at(F.array(F.lit("aws"), F.lit("azure"), F.lit("gcp")), (k % 3).cast("int") + 1).alias("provider"), F.col("c_name").alias("name"),
+        F.when(k % 2 == 0, "AES256").otherwise("aws:kms").alias("encryption_status"), F.when(k % 4 == 0, "Enabled").alias("versioning"),
+        F.when(k % 7 != 0, "box").alias("container"), F.when(k % 2 == 0, "None").otherwise("Blob").alias("container_public"), F.when(k % 5 != 0, "log").alias("access_log_target"),
+    )
+    return classify.conform(classify.normalise_stores(rows), classify.STORE_SCHEMA)
+
+
+@query("SELECT s_suppkey, ['user', 'group', 'service_principal', 'unknown'][(s_suppkey % 4 + 1)::INT] AS kind FROM supplier")
+def f_principal_kind(spark, sf):
+    kinds = F.array(*map(F.lit, ["user", "group", "serviceAccount", ""]))
+    return t(spark, sf, "supplier").select("s_suppkey", classify.principal_kind(F.element_at(kinds, (F.col("s_suppkey") % 4).cast("int") + 1)).alias("kind"))
+
+
+def _catalog(spark, sf) -> Catalog:
+    """Two methods over tables of the folder, and a composite of both."""
+    def build(table: str, key: str):
+        return lambda spark, tables, args: classify.conform(project.const_columns(tables(table).withColumnsRenamed({key: "name"}), {"created": args.get("since")}), BUCKETS)
+
+    out, inputs = Catalog(), (Param("since", True),)
+    for name, table, key in (("a", "region", "r_name"), ("b", "nation", "n_name")):
+        out.method_map[f"demo.{name}.list"] = Method(f"demo.{name}.list", "demo", table, BUCKETS, inputs, build=build(table, key))
+    out.method_map["demo.all.list"] = Method("demo.all.list", "demo", "both", BUCKETS, inputs, members=("demo.a.list", "demo.b.list"))
+    return out
+
+
+CATALOG_SQL = "SELECT name, '2020' AS created, CAST(NULL AS VARCHAR) AS arn, CAST(NULL AS VARCHAR) AS region, '2020' AS since FROM (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation)"
+
+
+@query(CATALOG_SQL)
+def c_composite(spark, sf):
+    return _catalog(spark, sf).new(spark, "demo.all.list", lambda name: t(spark, sf, name), {"since": "2020"})
+
+
+@query(CATALOG_SQL)
+def c_merged(spark, sf):
+    return _catalog(spark, sf).new_merged(spark, ["demo.a.list", "demo.b.list"], lambda name: t(spark, sf, name), {"since": "2020"})
+
+
 @query("SELECT o_orderkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON c_custkey = o_custkey")
 def b_stream_enrich(spark, sf):
     from quillgraph.streaming.operators import drain, enrich

@@ -140,6 +140,19 @@ def test_fixpoint(spark):
     assert rows(loop.rows) == [("a", "t"), ("root", "t")] and loop.reason == "fixpoint"
 
 
+@pytest.mark.parametrize("together", [1, 3])
+def test_rounds_of_one_job(spark, together):
+    edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 0), (3, 4), (4, None)], "a long, b long")
+    step = lambda f: f.join(edges, f.n == edges.a).select(F.col("b").cast("int").alias("n"), F.col("gone"))
+    seed = spark.range(1).select(F.col("id").alias("n"), F.lit(None).alias("gone"))
+    out = fixpoint.fixpoint(seed, step, ["n"], together=together)
+    assert out.counts == [1, 2, 1, 1, 1, 0] and out.iterations == 5 and out.reason == "fixpoint"
+    assert sorted((r["n"] is None, r["n"] or 0) for r in out.rows.collect()) == [(False, 0), (False, 1), (False, 2), (False, 3), (False, 4), (True, 0)]
+    for policy, counts in ((fixpoint.max_iterations(2), [1, 2, 1]), (fixpoint.max_emitted(3), [1, 2]), (fixpoint.max_iterations(4), [1, 2, 1, 1, 1])):
+        cut = fixpoint.fixpoint(seed, step, ["n"], policy, together)
+        assert cut.counts == counts and cut.rows.count() == sum(counts) and cut.reason == "terminated"
+
+
 def test_policies():
     p = fixpoint.Progress(3, 10)
     assert fixpoint.max_iterations(3)(p) and not fixpoint.max_iterations(4)(p) and fixpoint.max_emitted(10)(p)
