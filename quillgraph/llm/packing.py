@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ class Vocabulary:
     """Token ids of whole texts, word by word.
 
     The tokenizer drops white space and no merge crosses it, so the ids of a text are those of its words in order.
-    Each distinct word is encoded once and remembered as packed little-endian ids, for up to `bound` words.
+    Distinct words are remembered as packed little-endian ids. Beyond `bound` words a new memory is begun, into which words of the one
+    before are taken over when they are met again, so frequent words are encoded once and at most two memories are held.
     """
 
     def __init__(self, path: str, bound: int = 500_000):
@@ -33,18 +35,21 @@ class Vocabulary:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.bound = Tokenizer.from_file(path), {}, bound
+        self.tokenizer, self.known, self.before, self.bound = Tokenizer.from_file(path), {}, {}, bound
 
     def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
         for low in range(0, len(texts), 256):
             split = [(text or b"").split() for text in texts[low : low + 256]]
             if len(self.known) > self.bound:
-                self.known.clear()
-            new = list({word for words in split for word in words}.difference(self.known))
+                self.known, self.before = {}, self.known
+            new = {word for words in split for word in words}.difference(self.known)
+            self.known.update((w, self.before[w]) for w in new if w in self.before)
+            new = [w for w in new if w not in self.before]
             for at in range(0, len(new), 50_000):
                 part = new[at : at + 50_000]
-                coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                self.known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(part, coded, strict=True))
+                coded = [c.ids for c in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
+                packed, ends = np.fromiter(chain.from_iterable(coded), "<u4").tobytes(), np.cumsum([4 * len(c) for c in coded]).tolist()
+                self.known.update((w, packed[a:b]) for w, a, b in zip(part, [0, *ends], ends, strict=False))
             for words in split:
                 yield b"".join(map(self.known.__getitem__, words))
 

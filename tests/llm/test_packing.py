@@ -79,3 +79,12 @@ def test_ids_by_word_are_ids_of_the_text(text):
     vocabulary = packing.vocabulary(packing.default_tokenizer())
     got = np.frombuffer(next(vocabulary.ids([text.encode("utf-8", "ignore")])), "<u4").tolist()
     assert got == vocabulary.tokenizer.encode(text.encode("utf-8", "ignore").decode(), add_special_tokens=False).ids
+
+
+def test_remembered_words():
+    """A memory of few words, given up again and again, gives the ids of whole texts."""
+    texts = [" ".join(f"w{(k * j) % 23}é" for j in range(40)).encode() for k in range(600)]
+    small, whole = packing.Vocabulary(packing.default_tokenizer(), bound=5), packing.Vocabulary(packing.default_tokenizer())
+    got = list(small.ids([*texts, None, b"", b" \n"]))
+    assert got == list(whole.ids([*texts, None, b"", b" \n"])) and got[-3:] == [b"", b"", b""] and small.before
+    assert np.frombuffer(got[7], "<u4").tolist() == whole.tokenizer.encode(texts[7].decode(), add_special_tokens=False).ids
