@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.operators.fixpoint import shared_path
 from quillgraph.operators.joins import bind_flatten
 
 
@@ -43,12 +44,21 @@ def first_of_key(stream: DataFrame, key: list[str], event_time: str | None = Non
 
 
 def drain(stream: DataFrame, name: str, output: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """All rows that are available now, as a table (for bounded inputs)."""
+    """All rows that are available now, as a table and a view `name` (for bounded inputs).
+
+    Appended rows are written by the tasks below the session's checkpoint folder and never gathered by the driver; a batch that is run
+    again is counted once. Other output modes replace rows, so only their final, aggregated ones are held by the driver.
+    """
     spark: SparkSession = stream.sparkSession
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(output).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return spark.table(name)
+    base = shared_path(spark, "drained")
+    writer = stream.writeStream.outputMode(output).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{base}/checkpoint")
+    if output != "append":
+        writer.format("memory").queryName(name).start().awaitTermination()
+        return spark.table(name)
+    writer.format("parquet").queryName(name).start(f"{base}/rows").awaitTermination()
+    found = spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    found.createOrReplaceTempView(name)
+    return found
 
 
 def each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:

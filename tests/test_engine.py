@@ -223,6 +223,19 @@ def test_streaming(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).count() == 2
 
 
+def test_drained_rows_stay_in_files(spark, tmp_path):
+    from quillgraph.catalog_queries import QUERIES
+    from quillgraph.streaming.operators import drain
+
+    spark.createDataFrame([(1, 2), (2, 3), (3, 9)], "o_orderkey long, o_custkey long").repartition(2).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(2, "two"), (3, "three")], "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    found = QUERIES["b_stream_enrich"](spark, str(tmp_path))  # orders is a folder of files here
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, "two"), (2, None), (3, None)] and found.inputFiles()
+    stream = spark.readStream.schema("o_orderkey long, o_custkey long").parquet(str(tmp_path / "orders.parquet"))
+    assert drain(stream.where("o_orderkey > 5"), "none").count() == 0 and spark.table("none").columns == ["o_orderkey", "o_custkey"]
+    assert drain(stream.groupBy().count(), "counted", "complete").first()[0] == 3
+
+
 def test_dag():
     seen = []
     out = run_dag({"a": lambda: seen.append("a") or 1, "b": lambda: seen.append("b") or 2}, {"a": ["b"]})
