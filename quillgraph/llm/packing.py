@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +16,8 @@ from quillgraph.llm import common
 
 CAPACITY = 4096
 END_ID = 1
+#: Stands between words that are encoded together: a character that the tokenizer makes a token of its own. Words of one such text.
+MARK, LINE = "\x01", 200
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -36,20 +37,41 @@ class Vocabulary:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.before, self.bound = Tokenizer.from_file(path), {}, {}, bound
+        alone = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = alone[0] if len(alone) == 1 else None
+
+    def plain(self, words: list[str]) -> list[bytes]:
+        return [np.array(c.ids, "<u4").tobytes() for c in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word. Words are encoded LINE at a time as one text, with a mark between them whose id tells them apart; where
+        a word brings that id itself, they are encoded one by one."""
+        if self.mark is None:
+            return self.plain(words)
+        lines, out = [words[at : at + LINE] for at in range(0, len(words), LINE)], []
+        for line, coded in zip(lines, self.tokenizer.encode_batch_fast([f" {MARK} ".join(line) for line in lines], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, "<u4")
+            ends = [*(4 * np.flatnonzero(ids == self.mark)).tolist(), ids.nbytes]
+            if len(ends) == len(line):
+                packed = ids.tobytes()
+                out += [packed[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends, strict=False)]
+            else:
+                out += self.plain(line)
+        return out
 
     def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
         for low in range(0, len(texts), 256):
             split = [(text or b"").split() for text in texts[low : low + 256]]
             if len(self.known) > self.bound:
                 self.known, self.before = {}, self.known
-            new = {word for words in split for word in words}.difference(self.known)
-            self.known.update((w, self.before[w]) for w in new if w in self.before)
-            new = [w for w in new if w not in self.before]
+            new = set().union(*split).difference(self.known)
+            again = list(filter(self.before.__contains__, new))
+            self.known.update(zip(again, map(self.before.__getitem__, again), strict=True))
+            new.difference_update(again)
+            new = list(new)
             for at in range(0, len(new), 50_000):
                 part = new[at : at + 50_000]
-                coded = [c.ids for c in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
-                packed, ends = np.fromiter(chain.from_iterable(coded), "<u4").tobytes(), np.cumsum([4 * len(c) for c in coded]).tolist()
-                self.known.update((w, packed[a:b]) for w, a, b in zip(part, [0, *ends], ends, strict=False))
+                self.known.update(zip(part, self.encode([w.decode("utf-8", "replace") for w in part]), strict=True))
             for words in split:
                 yield b"".join(map(self.known.__getitem__, words))
 

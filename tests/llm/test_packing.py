@@ -37,6 +37,27 @@ def test_round_trip(spark):
         assert at <= 512
 
 
+def test_words_are_encoded_together():
+    words = packing.Vocabulary(packing.default_tokenizer(), bound=300)
+    asked, one = [], words.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, **rest):
+            asked.append(len(texts))
+            return one.encode_batch_fast(texts, **rest)
+
+    words.tokenizer = Counting()
+    rnd = random.Random(5)
+    odd = ["a\x01b", "\x01", "\x01\x01", "\u0301x", "e\u0301", "\u00a0", "x\u00a0y", "\u3000", "İ", "Σας", "<|endoftext|>", "x<|startoftext|>y", "'s", "don't", "12a", "日本", "🙂🙂", "\u200b", "ﬁ"]
+    plain = ["".join(rnd.choices("abcdeäé-7,", k=rnd.randint(1, 9))) for _ in range(2000)]
+    texts = [" ".join(rnd.sample(plain, 400)) for _ in range(300)]
+    each = lambda text: np.array(one.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert list(words.ids([t.encode() for t in texts])) == list(map(each, texts))
+    assert sum(asked) < 50  # not a text for each word
+    mixed = [" ".join(rnd.sample(odd + plain[:20], 15)) for _ in range(300)]
+    assert list(words.ids([t.encode() for t in mixed])) == list(map(each, mixed))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=120))
 def test_bins_hold_everything_once(lengths):
