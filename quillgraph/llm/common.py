@@ -12,7 +12,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word definition `[^\x20\x09-\x0D]+`; `bytes.split()` splits on exactly these.
@@ -103,15 +103,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return base
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows as a table in the shared folder and read it from there. Its rows are counted on the way."""
+def cut(df: DataFrame, **sums: Column) -> DataFrame:
+    """Cut the lineage: write the rows as a table in the shared folder and read it from there. Its rows are counted on the way, and further
+    aggregates of them are kept in `seen` by name."""
     path, seen = scratch(df.sparkSession, "rows"), Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in sums.items()]).write.option("compression", "zstd").parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table.written_rows = seen.get["rows"]
+    table.seen = seen.get
+    table.written_rows = table.seen["rows"]
     return table
 
 
+def renamed(table: DataFrame, *columns: str | Column) -> DataFrame:
+    """Columns of a written table; its number of rows stays known."""
+    out = table.select(*columns)
+    out.written_rows = rows_of(table)
+    return out
+
+
 def rows_of(table: DataFrame) -> int:
     """Number of rows; known for a table as `cut` returns it, else counted."""
     return table.written_rows if hasattr(table, "written_rows") else table.count()

@@ -167,20 +167,30 @@ def starts(rows: DataFrame, middle: DataFrame) -> DataFrame:
     return attached(shapes, middle).selectExpr("g", "n", *CENTRE, f"explode(array({', '.join(given)})) AS s").selectExpr("g", "n", *CENTRE, "s.*")
 
 
+def scaled(columns: list[str], scale: float) -> dict[str, str]:
+    return {c: f"{c} * {scale!r}D" if c in SCATTER else c for c in columns}
+
+
+def aims(target: DataFrame, names: list[str]) -> DataFrame:
+    """The columns `names` of a written table of estimates as w{name}, by g."""
+    return common.renamed(target, "g", *[F.col(c).alias(f"w{c}") for c in names])
+
+
+def mixed(own: dict[str, str], names: list[str]) -> list[str]:
+    """Expressions by column; `names` among them are drawn towards the columns w{name}, the more the smaller n is."""
+    return [f"(n * {e} + {OWN_ROWS} * w{c}) / (n + {OWN_ROWS}) AS {c}" if c in names else f"{e} AS {c}" for c, e in own.items()]
+
+
 def towards(found: DataFrame, target: DataFrame | None, names: list[str], scale: float = 1.0) -> DataFrame:
     """Estimates (g, n, ...) with scatter times `scale`, and `names` drawn towards those of a written table by g, the more the fewer rows they come from."""
-    own = {c: f"{c} * {scale!r}D" if c in SCATTER else c for c in found.columns}
-    if target is None:
-        return found.selectExpr(*[f"{e} AS {c}" for c, e in own.items()])
-    other = target.selectExpr("g", *[f"{c} AS w{c}" for c in names])
-    other.written_rows = common.rows_of(target)
-    mixed = [f"(n * {e} + {OWN_ROWS} * w{c}) / (n + {OWN_ROWS}) AS {c}" if c in names else c for c, e in own.items()]
-    return common.attach(found, other, "g", SENT_GROUPS).selectExpr(*mixed)
+    own = scaled(found.columns, scale)
+    return found.selectExpr(*mixed(own, [])) if target is None else attached(found, aims(target, names)).selectExpr(*mixed(own, names))
 
 
 def concentrate(rows: DataFrame, sizes: DataFrame, middle: DataFrame, ridge: list[float], target: DataFrame | None = None, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
     """(g, m, c, l): the estimate with the least determinant that the concentration steps reach from any start."""
     names = [*CENTRE, *SCATTER]
+    frame = sizes if target is None else common.cut(attached(sizes, aims(target, names)))
     current = common.cut(factor(towards(starts(rows, middle), target, names), ridge).drop("n"))
     consistent = coverage / chi_square(chi_square_quantile(coverage), DIMENSIONS + 2)
     before = None
@@ -188,9 +198,10 @@ def concentrate(rows: DataFrame, sizes: DataFrame, middle: DataFrame, ridge: lis
         away = with_distance(attached(rows, current), "away", X)
         bins = sums(away.withColumn("bin", bin_of("away")), "g", "start", "bin")
         within = bins.selectExpr("*", "coalesce(sum(n) OVER (PARTITION BY g, start ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nearer", "sum(n) OVER (PARTITION BY g, start) AS every")
-        found = attached(moments(within.where(f"nearer < {coverage} * every"), "g", "start"), sizes)
-        current = common.cut(factor(towards(found, target, names, consistent), ridge).drop("n"))
-        groups, now = current.selectExpr("count(*)", "sum(det)").first()
+        kept = moments(within.where(f"nearer < {coverage} * every"), "g", "start")
+        found = attached(kept, frame).selectExpr(*mixed(scaled(["n", *kept.columns], consistent), names if target is not None else []))
+        current = common.cut(factor(found, ridge).drop("n"), det=F.sum("det"))
+        groups, now = common.rows_of(current), current.seen["det"]
         if not groups or before is not None and before - now < 1e-2 * groups:
             break
         before = now
@@ -203,14 +214,13 @@ def estimate(rows: DataFrame, ridge: list[float], target: DataFrame | None = Non
     `target` holds a centre and scatter for each g; with it, every estimate on the way is drawn towards it, so that few rows suffice.
     """
     middle = common.cut(quartiles(rows))
-    sizes = middle.select("g", "n")
-    sizes.written_rows = common.rows_of(middle)
+    sizes = common.renamed(middle, "g", "n")
     names, inner = [*CENTRE, *SCATTER], chi_square_quantile(0.975)
     least = concentrate(rows, sizes, middle, ridge, target, **limits)
     near = attached(moments(sums(with_distance(attached(rows, least), "away", X).where(f"away <= {inner}"), "g"), "g"), sizes)
     near = towards(near.select("g", "n", *names), target, names, 0.975 / chi_square(inner, DIMENSIONS + 2)).selectExpr("g", *[f"{c} AS near_{c}" for c in names])
     joined = attached(least.select("g", *names), sizes).join(near, "g", "left")  # where none of its rows is near, the estimate before stays
-    return common.cut(joined.selectExpr("g", "n", *[f"coalesce(near_{c}, {c}) AS {c}" for c in names]))
+    return joined.selectExpr("g", "n", *[f"coalesce(near_{c}, {c}) AS {c}" for c in names])
 
 
 def with_statistics(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -240,13 +250,15 @@ def by_scope(rows: DataFrame, groups: DataFrame, found) -> DataFrame:
     """
 
     def complete(part: DataFrame, target: DataFrame) -> DataFrame:
-        return common.cut(part.unionByName(target.join(part.select("g"), "g", "left_anti").withColumn("n", F.lit(0).cast("long"))))
+        names = [c for c in part.columns if c not in ("g", "n")]
+        own = part.select("g", F.col("n").alias("own_n"), *[F.col(c).alias(f"own_{c}") for c in names])
+        return target.join(own, "g", "left").selectExpr("g", "coalesce(own_n, 0L) AS n", *[f"if(own_n IS NULL, {c}, own_{c}) AS {c}" for c in names])
 
     every = found(rows.withColumn("g", F.lit("")), None).drop("n").withColumnRenamed("g", "in")
     languages = groups.select(language_key("g").alias("g")).distinct().withColumn("in", F.lit(""))
     target = common.cut(languages.join(F.broadcast(every), "in").drop("in"))  # `every` is one row
-    wide = complete(found(rows.withColumn("g", language_key("g")), target), target)
-    wide = common.small(wide, SENT_GROUPS).drop("n").withColumnRenamed("g", "in")
+    wide = complete(found(rows.withColumn("g", language_key("g")), target), target).drop("n").withColumnRenamed("g", "in")
+    wide = F.broadcast(wide) if common.rows_of(target) <= SENT_GROUPS else wide  # as many rows as `target`
     target = common.cut(groups.withColumn("in", language_key("g")).join(wide, "in").drop("in"))
     return complete(found(rows, target), target)
 
@@ -256,7 +268,7 @@ def fit(stats: DataFrame, **limits) -> DataFrame:
 
     There are no estimates if no row at all passes the plain limits."""
     rows, groups = vectors(stats), common.cut(stats.select(F.col("__g").alias("g")).distinct())
-    medians = by_scope(rows, groups, lambda x, target: common.cut(towards(quartiles(x).select("g", "n", *CENTRE), target, CENTRE)))
+    medians = by_scope(rows, groups, lambda x, target: towards(quartiles(x).select("g", "n", *CENTRE), target, CENTRE))
     medians = common.cut(medians.select("g", *[F.col(c).alias(f"md{i}") for i, c in enumerate(CENTRE)]))
     pulled = common.cut(attached(rows, medians).selectExpr("g", *[f"{drawn(c, i, 'words')} AS p{c}" for i, c in enumerate(X)]).toDF("g", *X))
     spread = quartiles(pulled.withColumn("g", F.lit(""))).first()

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quillgraph.llm import language, licenses, mixing, perplexity, quality
+from quillgraph.llm import common, language, licenses, mixing, perplexity, quality
 
 
 def prose(rnd, n, letters="abcdefg"):
@@ -305,3 +305,13 @@ def test_probabilities_sum_to_one(spark):
             pair = np.array([first, second])
             total += 10 ** (model.score(pair, np.array([2]))[2][0] - model.score(pair[:1], np.array([1]))[2][0])
         assert total == pytest.approx(1, abs=1e-9)
+
+
+def test_estimates_take_few_queries(spark):
+    ran = spark._jsparkSession.sharedState().statusStore().executionsCount
+    rnd = random.Random(4)
+    docs = spark.createDataFrame([(" ".join("".join(rnd.choices("abcdEF,", k=rnd.randint(2, 9))) for _ in range(120)), "en", f"s{k % 3}") for k in range(60)], "text string, lang string, source string")
+    stats = common.cut(quality.with_statistics(docs).select("__s", "__g"))
+    before = ran()
+    assert quality.fit(stats, steps=2).count() > 0
+    assert ran() - before < 35  # each leaves threads and blocks with the driver
