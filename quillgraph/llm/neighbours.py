@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import os
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -221,6 +222,19 @@ def index(rows: DataFrame, keep: int, shard_size: int = SHARD, neighbours: int =
     return Index(path, shards, width)
 
 
+def contenders(graph: dict[str, np.ndarray], hits: np.ndarray, q: np.ndarray, least: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple[int, float]]]]:
+    """(query, its nodes and their scores) for each query with any: of the nodes found in a shard (-1 is none) those that score at least
+    `least`, and of these the k + 1 best with all that tie with the last."""
+    scores = np.where(hits >= 0, (graph["vectors"][hits] * q[:, None, :]).sum(-1), -np.inf)
+    if hits.shape[1] > k + 1:
+        least = np.maximum(least, -np.partition(-scores, k, 1)[:, k])
+    rows, cols = np.nonzero((scores >= least[:, None]) & (hits >= 0))
+    nodes, scores, bounds = hits[rows, cols].tolist(), scores[rows, cols].tolist(), common.slices(np.bincount(rows, minlength=len(q)))
+    for row in np.flatnonzero(np.diff(bounds)).tolist():
+        part = slice(bounds[row], bounds[row + 1])
+        yield row, list(zip(nodes[part], scores[part], strict=True))
+
+
 def nearest(queries: DataFrame, found: Index, k: int, width: int = SEARCH, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows found for each valid query, without the query's own id.
 
@@ -237,20 +251,16 @@ def nearest(queries: DataFrame, found: Index, k: int, width: int = SEARCH, key:
             for low in range(0, len(x), TOGETHER):
                 q, own = x[low : low + TOGETHER], names[low : low + TOGETHER]
                 best: list[list[tuple[float, int]]] = [[] for _ in q]
+                least = np.full(len(q), -np.inf)  # scores below can't be among the k best any more
                 for s in range(found.shards):
                     graph = found.shard(s)
                     if graph is None:
                         continue
-                    nodes = search(graph, q, max(width, k + 1))
-                    for row, hit in enumerate(nodes):
-                        hit = hit[hit >= 0]
-                        scores = (graph["vectors"][hit] * q[row]).sum(1)
-                        top = np.argsort(-scores, kind="stable")
-                        if len(top) > k + 1:  # with all that tie with the last
-                            top = top[scores[top] >= scores[top[k]]]
-                        for node, score in zip(hit[top], scores[top], strict=True):
-                            best[row] += [(-score, int(i)) for i in graph["ids"][graph["bounds"][node] : graph["bounds"][node + 1]] if i != own[row]]
+                    hits = search(graph, q, max(width, k + 1))
+                    for row, held in contenders(graph, hits, q, least, k):
+                        best[row] += [(-score, int(i)) for node, score in held for i in graph["ids"][graph["bounds"][node] : graph["bounds"][node + 1]] if i != own[row]]
                         best[row] = sorted(best[row])[:k]
+                        least[row] = -best[row][-1][0] if len(best[row]) == k else -np.inf
                 flat = [(own[row], rank, i, -score) for row, hits in enumerate(best) for rank, (score, i) in enumerate(hits, 1)]
                 if flat:
                     yield dict(zip(("query_id", "rank", "vec_id", "score"), map(list, zip(*flat, strict=True)), strict=True))

@@ -39,6 +39,21 @@ def test_shards_are_whole(spark):
     assert sorted(held) == list(range(500))
 
 
+def test_later_shards_bring_few_contenders():
+    rng = np.random.default_rng(3)
+    x, q = np.round(rng.normal(size=(400, 3)), 1), np.round(rng.normal(size=(30, 3)), 1)  # with ties
+    hits, k = np.stack([rng.permutation(400)[:60] for _ in q]), 5
+    hits[:, 50:], hits[0, 2:], hits[1] = -1, -1, -1
+    least = np.where(np.arange(30) % 2, -np.inf, np.sort((q @ x.T), 1)[:, -3])
+    got = dict(neighbours.contenders({"vectors": x}, hits, q, least, k))
+    for row in range(30):
+        scores = {int(n): float((x[n] * q[row]).sum()) for n in hits[row] if n >= 0}
+        last = sorted(scores.values())[-k - 1] if len(scores) > k else -np.inf
+        want = {n: v for n, v in scores.items() if v >= max(last, least[row])}
+        assert dict(got.get(row, [])) == want
+    assert len(got) < 30
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <div class="content"><h1>Head &amp; line</h1><p>First   para
