@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlparse
 
@@ -37,11 +39,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Word bytes to a 64-bit hash, remembered for up to `bound` distinct words."""
+    """Word bytes to a 64-bit hash, remembered for up to `bound` distinct words of a task."""
+
+    every: weakref.WeakValueDictionary[int, WordHashes] = weakref.WeakValueDictionary()
 
     def __init__(self, bound: int = 400_000):
         super().__init__()
         self.bound = bound
+        self.every[id(self)] = self
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
@@ -58,6 +63,28 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def release() -> None:
+    """Give memory back to the system. A worker lives on after its task, idle or for another stage, and what it keeps is lost to the
+    executor meanwhile: hashes are forgotten (they cost less than their memory), and free memory of Arrow and the C library is returned."""
+    for hashes in list(WordHashes.every.values()):
+        hashes.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def releasing(work: Callable[[Iterator[pa.RecordBatch]], Iterable]) -> Callable[[Iterator[pa.RecordBatch]], Iterator]:
+    """`work` on the batches of a task, with `release` at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[dict | pa.RecordBatch]], schema: str) -> DataFrame:
     """`mapInArrow` where `work` may yield dicts of columns in the order of `schema`."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -72,7 +99,7 @@ def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterab
             if out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run), schema)
 
 
 def shared_path(spark: SparkSession, prefix: str) -> str:

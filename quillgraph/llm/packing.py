@@ -18,6 +18,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Stands between words that are encoded together: a character that the tokenizer makes a token of its own. Words of one such text.
 MARK, LINE = "\x01", 200
+#: Texts that are taken out of a batch and split into words at once.
+TEXTS = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -30,7 +32,7 @@ class Vocabulary:
     before are taken over when they are met again, so frequent words are encoded once and at most two memories are held.
     """
 
-    def __init__(self, path: str, bound: int = 500_000):
+    def __init__(self, path: str, bound: int = 250_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -60,8 +62,8 @@ class Vocabulary:
         return out
 
     def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        for low in range(0, len(texts), 256):
-            split = [(text or b"").split() for text in texts[low : low + 256]]
+        for low in range(0, len(texts), TEXTS):
+            split = [(text or b"").split() for text in texts[low : low + TEXTS]]
             if len(self.known) > self.bound:
                 self.known, self.before = {}, self.known
             new = set().union(*split).difference(self.known)
@@ -93,12 +95,14 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
         words, end = vocabulary(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc, ids in zip(batch.column(0).to_pylist(), words.ids(common.as_bytes(batch.column(1))), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for name, value in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        out[name].append(value)
+            for low in range(0, batch.num_rows, TEXTS):
+                few = batch.slice(low, TEXTS)
+                for doc, ids in zip(few.column(0).to_pylist(), words.ids(common.as_bytes(few.column(1))), strict=True):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        for name, value in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            out[name].append(value)
             yield out
 
     return common.map_batches(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), work, PIECES)

@@ -394,7 +394,7 @@ def remove(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str =
             yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
 
     docs_columns = docs.columns
-    return joined.mapInArrow(work, docs.schema)
+    return joined.mapInArrow(common.releasing(work), docs.schema)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

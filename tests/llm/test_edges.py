@@ -113,3 +113,14 @@ def test_hot_keys_stay_where_they_are(spark, monkeypatch):
     plain = sorted(map(tuple, rows.join(table, "key").collect()))
     assert common.rows_of(rows) == 60 and sorted(map(tuple, common.join_weighted(rows, table, ["key"], "count", 60).collect())) == plain
     assert sorted(map(tuple, common.attach(rows, table, "key", 0).collect())) == plain == sorted(map(tuple, common.attach(rows, table, "key", 100).collect()))
+
+
+def test_workers_keep_no_hashes_between_tasks(spark):
+    """Workers are used again by later tasks and stages; what one task remembers must not add to the memory of the next."""
+
+    def work(batches):
+        for batch in batches:
+            yield {"held": [len(neardup._HASHED)] * batch.num_rows}
+            neardup.grams(b"some words of this task alone")
+
+    assert {r["held"] for r in common.map_batches(spark.range(0, 32, 1, 32), work, "held long").collect()} == {0}
