@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import heapq
+import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import compress, pairwise
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +23,21 @@ CAPACITY = 4096
 END_ID = 1
 #: Stands between words that are encoded together: a character that the tokenizer makes a token of its own. Words of one such text.
 MARK, LINE = "\x01", 200
-#: Texts that are taken out of a batch and split into words at once.
-TEXTS = 256
+#: Texts that are taken out of a batch and split into words at once, and those whose ids are brought together at once.
+TEXTS, JOINED = 1024, 128
+#: Words that keep one token group of letters whatever follows: these are composed already, and each has one lower-case form of its own.
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Marks at the end of a word that are a token group of their own after a letter. Not among them are those of contractions and special tokens.
+ENDING = b".,;:!?*$#&%()\"-"
+END_OF_WORD = "</w>"
+#: The normalizer and the splitting for which `LETTERS` and `ENDING` hold.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {
+    "type": "Split",
+    "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -30,6 +48,8 @@ class Vocabulary:
     The tokenizer drops white space and no merge crosses it, so the ids of a text are those of its words in order.
     Distinct words are remembered as packed little-endian ids. Beyond `bound` words a new memory is begun, into which words of the one
     before are taken over when they are met again, so frequent words are encoded once and at most two memories are held.
+    Where the tokenizer is known to make groups of letters and of marks (`LETTERS`, `ENDING`), a word of letters with marks behind it has
+    the ids of its lower-case letters and then those of the marks, which are remembered as words too; letters skip the normalizer.
     """
 
     def __init__(self, path: str, bound: int = 250_000):
@@ -38,9 +58,19 @@ class Vocabulary:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.before, self.bound = Tokenizer.from_file(path), {}, {}, bound
+        self.tokenizer, self.known, self.before, self.bound = Tokenizer.from_file(path), {b"": b""}, {}, bound
         alone = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = alone[0] if len(alone) == 1 else None
+        self.plainer = self.ends = None
+        if letters_apart(json.loads(self.tokenizer.to_str())):
+            from tokenizers import pre_tokenizers
+
+            self.plainer = Tokenizer.from_file(path)
+            self.plainer.normalizer = None
+            self.plainer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            ids = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(ids.values()) + 1, bool)
+            self.ends[[at for token, at in ids.items() if token.endswith(END_OF_WORD)]] = True
 
     def plain(self, words: list[str]) -> list[bytes]:
         return [np.array(c.ids, "<u4").tobytes() for c in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -61,21 +91,94 @@ class Vocabulary:
                 out += self.plain(line)
         return out
 
+    def encode_letters(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words of lower-case `LETTERS`: LINE at a time as one text, told apart by tokens that end a word."""
+        lines, out = [words[at : at + LINE] for at in range(0, len(words), LINE)], []
+        for line, coded in zip(lines, self.plainer.encode_batch_fast([b" ".join(line).decode() for line in lines], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, "<u4")
+            packed, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            out += [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            if len(ends) != len(line):
+                raise ValueError(f"{len(line)} words were encoded as {len(ends)}")
+        return out
+
+    def fresh(self, words: Iterable[bytes]) -> list[bytes]:
+        """Those of some distinct words that neither memory has; what only the one before has is taken over."""
+        known, before = self.known, self.before
+        new = [w for w in words if w not in known]
+        again = [w for w in new if w in before]
+        known.update(zip(again, map(before.__getitem__, again), strict=True))
+        return [w for w in new if w not in before] if again else new
+
+    def remember(self, words: Iterable[bytes]) -> None:
+        """Take distinct words over from the memory before, as far as it has them, and encode the others."""
+        whole, known = self.fresh(words), self.known
+        if self.plainer:
+            stems = [w.rstrip(ENDING) for w in whole]
+            lower = [s.lower() if s.isalpha() else lower_letters(s) for s in stems]  # bytes that are letters by `isalpha` are ASCII
+            marks = [w[len(s) :] for w, s in zip(whole, stems, strict=True)]
+            apart = [x is not None for x in lower]
+            composed, lower, marks = (list(compress(x, apart)) for x in (whole, lower, marks))
+            whole = [w for w, x in zip(whole, apart, strict=True) if not x]
+            self.encode_new(self.fresh(set(lower)), self.encode_letters)
+        self.encode_new(whole, lambda part: self.encode([w.decode("utf-8", "replace") for w in part]))
+        if self.plainer:
+            self.encode_new(self.fresh(set(marks)), lambda part: self.encode([w.decode() for w in part]))
+            known.update(zip(composed, map(add, map(known.__getitem__, lower), map(known.__getitem__, marks)), strict=True))
+
+    def encode_new(self, words: list[bytes], encode: Callable[[list[bytes]], list[bytes]]) -> None:
+        for at in range(0, len(words), 50_000):
+            part = words[at : at + 50_000]
+            self.known.update(zip(part, encode(part), strict=True))
+
     def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
         for low in range(0, len(texts), TEXTS):
-            split = [(text or b"").split() for text in texts[low : low + TEXTS]]
-            if len(self.known) > self.bound:
-                self.known, self.before = {}, self.known
-            new = set().union(*split).difference(self.known)
-            again = list(filter(self.before.__contains__, new))
-            self.known.update(zip(again, map(self.before.__getitem__, again), strict=True))
-            new.difference_update(again)
-            new = list(new)
-            for at in range(0, len(new), 50_000):
-                part = new[at : at + 50_000]
-                self.known.update(zip(part, self.encode([w.decode("utf-8", "replace") for w in part]), strict=True))
-            for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
+            yield from self.packed(pa.array(texts[low : low + TEXTS], pa.large_binary()))
+
+    def packed(self, texts: pa.Array) -> Iterator[bytes]:
+        """Packed ids of each of some texts (strings or their bytes; null: none)."""
+        texts = texts.cast(pa.large_binary())
+        texts = pa.Array.from_buffers(pa.large_string(), len(texts), texts.buffers(), offset=texts.offset)
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        bounds, at = common.slices(pc.list_value_length(split).to_numpy()), words.indices.to_numpy()
+        distinct = sliced(words.dictionary)
+        del split, words
+        self.remember(distinct)
+        coded = list(map(self.known.__getitem__, distinct))
+        if len(self.known) > self.bound:
+            self.known, self.before = {b"": b""}, self.known
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        starts, every = common.slices(lengths)[:-1], np.frombuffer(b"".join(coded), "<u4")
+        for low in range(0, len(bounds) - 1, JOINED):
+            ends = bounds[low : low + JOINED + 1]
+            some = at[ends[0] : ends[-1]]
+            counts = lengths[some]
+            joined = every[common.ranges(starts[some], counts)].tobytes()
+            places = (4 * common.slices(counts)[ends - ends[0]]).tolist()
+            for a, b in pairwise(places):
+                yield joined[a:b]
+
+
+def letters_apart(tokenizer: dict) -> bool:
+    """Whether a tokenizer (as read from JSON) lower-cases texts and splits them so that `LETTERS` and `ENDING` hold, and marks ends of words."""
+    given, steps, model = ((tokenizer.get(part) or {}) for part in ("normalizer", "pre_tokenizer", "model"))
+    steps = steps.get("pretokenizers") or [{}]
+    apart = steps[0] == SPLIT and [s.get("type") for s in steps[1:]] == ["ByteLevel"] and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+    plain = not any(LETTERS(t["content"].strip(ENDING.decode())) or t["normalized"] or t["lstrip"] or t["rstrip"] for t in tokenizer["added_tokens"])
+    return apart and plain and given.get("normalizers") == NORMALIZERS and model.get("type") == "BPE" and model.get("end_of_word_suffix") == END_OF_WORD and not model.get("dropout")
+
+
+def sliced(strings: pa.Array) -> list[bytes]:
+    """The bytes of an array of large strings that has no offset and no nulls, as `to_pylist` of its bytes but several times as fast."""
+    _, ends, data = strings.buffers()
+    data = data.to_pybytes() if data else b""
+    return [data[a:b] for a, b in pairwise(np.frombuffer(ends, np.int64, len(strings) + 1).tolist())] if len(strings) else []
+
+
+def lower_letters(word: bytes) -> bytes | None:
+    """A word of `LETTERS`, not all of them ASCII, in lower case; else none."""
+    return None if word.isascii() else text.lower().encode() if LETTERS(text := word.decode("utf-8", "replace")) else None
 
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
@@ -97,7 +200,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
             out = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for low in range(0, batch.num_rows, TEXTS):
                 few = batch.slice(low, TEXTS)
-                for doc, ids in zip(few.column(0).to_pylist(), words.ids(common.as_bytes(few.column(1))), strict=True):
+                for doc, ids in zip(few.column(0).to_pylist(), words.packed(few.column(1)), strict=True):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

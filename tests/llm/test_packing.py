@@ -109,3 +109,31 @@ def test_remembered_words():
     got = list(small.ids([*texts, None, b"", b" \n"]))
     assert got == list(whole.ids([*texts, None, b"", b" \n"])) and got[-3:] == [b"", b"", b""] and small.before
     assert np.frombuffer(got[7], "<u4").tolist() == whole.tokenizer.encode(texts[7].decode(), add_special_tokens=False).ids
+
+
+def test_a_word_is_encoded_once_whatever_its_case_and_marks():
+    """Forms of a word that differ by case and marks behind it ask the tokenizer once; where that would not give the same ids, they are asked for whole."""
+    words, asked = packing.Vocabulary(packing.default_tokenizer(), bound=300), []
+    one = words.tokenizer
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **rest):
+            asked.extend(w for t in texts for w in t.split() if w != packing.MARK)
+            return self.inner.encode_batch_fast(texts, **rest)
+
+    words.tokenizer = Counting(one)
+    if getattr(words, "plainer", None):
+        words.plainer = Counting(words.plainer)
+    rnd = random.Random(8)
+    stems = ["".join(rnd.choices("abcdeéßÿø", k=rnd.randint(3, 9))) for _ in range(150)]
+    forms = [f(w) + marks for w in stems for f in (str.lower, lambda w: w[:1].upper() + w[1:]) for marks in ("", ",", "...", "!?", '")')]
+    each = lambda text: np.array(one.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    texts = [" ".join(rnd.sample(forms, 60)) for _ in range(400)]
+    assert list(words.ids([t.encode() for t in texts])) == list(map(each, texts))
+    assert len(asked) < 2 * len(stems) < len(set(" ".join(texts).split())) / 4
+    atoms = ["a", "H", "É", "é", "̱", "̸", "ª", "µ", "×", "İ", "Σ", "K", "ſ", "'S", "'ll", "'", "<|endoftext|>", "<|ENDOFTEXT|>", "|", ">", ".", ",", "-", "1", "½", "日", "»", "\u0085", "​", "\x01", " ", "\n"]
+    odd = ["".join(rnd.choices(atoms, k=rnd.randint(0, 12))) for _ in range(3000)]
+    assert list(words.ids([t.encode() for t in odd])) == list(map(each, odd))
