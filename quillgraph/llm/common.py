@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import os
 import tempfile
+import time
 import uuid
 import weakref
 from collections.abc import Callable, Iterable, Iterator
@@ -14,6 +16,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,11 +133,45 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Rows whose aggregate is one task's work.
+ROWS_A_TASK = 25_000
+
+
+def few(aggregate: DataFrame, rows: int | None) -> DataFrame:
+    """An aggregate of so many rows in no more tasks than they are worth, however many partitions a shuffle has (as it is, if their number
+    is not known). Every task and file costs the driver memory, whatever there is in it."""
+    return aggregate if rows is None else aggregate.coalesce(1 + rows // ROWS_A_TASK)
+
+
+#: Seconds between two times that the driver gives memory back.
+PAUSE = 5.0
+_GIVEN_BACK = [0.0]
+
+
+def give_back(spark: SparkSession) -> None:
+    """Give the driver's memory back to the system, at most every PAUSE seconds. A chain of many small queries leaves little that lives, but the
+    heap grows by what each one drops, and the C library keeps what compilers and threads freed. Where a Java machine cannot trim, it only collects."""
+    if time.monotonic() - _GIVEN_BACK[0] < PAUSE:
+        return
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    with contextlib.suppress(Py4JError):
+        beans = jvm.java.lang.Class.forName("javax.management.MBeanServer")  # the server's own class is not open to reflection
+        invoke = next(m for m in beans.getMethods() if m.getName() == "invoke")
+        given = array(jvm.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        given[2], given[3] = array(jvm.Object, 0), array(jvm.String, 0)
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    _GIVEN_BACK[0] = time.monotonic()
+
+
 def cut(df: DataFrame, **sums: Column) -> DataFrame:
     """Cut the lineage: write the rows as a table in the shared folder and read it from there. Its rows are counted on the way, and further
-    aggregates of them are kept in `seen` by name."""
+    aggregates of them are kept in `seen` by name. Without a mark of success, which a local folder lets the driver start processes for."""
     path, seen = scratch(df.sparkSession, "rows"), Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in sums.items()]).write.option("compression", "zstd").parquet(path)
+    marked = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in sums.items()])
+    marked.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    give_back(df.sparkSession)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.seen = seen.get
     table.written_rows = table.seen["rows"]

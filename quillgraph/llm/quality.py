@@ -149,19 +149,20 @@ def sums(rows: DataFrame, *keys: str) -> DataFrame:
     return grouped(rows, list(keys), "count(*) AS n", *[f"sum(x{i}) AS s{i}" for i in range(DIMENSIONS)], *[f"sum(x{i} * x{j}) AS s{i}{j}" for i, j in PAIRS])
 
 
-def quartiles(rows: DataFrame) -> DataFrame:
-    """n, medians m{i} and spreads d{i} by g: from the quartiles, or the standard deviation where those are equal."""
+def quartiles(rows: DataFrame, total: int | None = None) -> DataFrame:
+    """n, medians m{i} and spreads d{i} by g: from the quartiles, or the standard deviation where those are equal. `total` is about the
+    number of rows, if it is known (as below)."""
     found = grouped(rows, ["g"], "count(*) AS n", *[f"percentile_approx({x}, array(0.25D, 0.5D, 0.75D), 1000) AS q{x}" for x in X], *[f"stddev_pop({x}) AS d{x}" for x in X])
     spread = [f"if(q{x}[2] > q{x}[0], (q{x}[2] - q{x}[0]) / 1.349D, greatest(d{x}, 1e-9D)) AS d{i}" for i, x in enumerate(X)]
-    return found.selectExpr("g", "n", *[f"q{x}[1] AS m{i}" for i, x in enumerate(X)], *spread)
+    return common.few(found, total).selectExpr("g", "n", *[f"q{x}[1] AS m{i}" for i, x in enumerate(X)], *spread)
 
 
-def starts(rows: DataFrame, middle: DataFrame) -> DataFrame:
+def starts(rows: DataFrame, middle: DataFrame, total: int | None = None) -> DataFrame:
     """(g, n, start, m, c): the medians, with three correlations over the spreads: none, of hyperbolic tangents, of directions."""
     scored = attached(rows, middle).selectExpr("g", *[f"greatest(-1e6D, least(1e6D, (x{i} - m{i}) / d{i})) AS z{i}" for i in range(DIMENSIONS)])
     norm = "sqrt(1e-12D + " + " + ".join(f"z{i} * z{i}" for i in range(DIMENSIONS)) + ")"
     scored = scored.selectExpr("g", f"{norm} AS norm", *[f"tanh(z{i}) AS t{i}" for i in range(DIMENSIONS)], *[f"z{i} / norm AS u{i}" for i in range(DIMENSIONS)])
-    shapes = grouped(scored, ["g"], *[f"avg({k}{i} * {k}{j}) AS {k}{i}{j}" for k in "tu" for i, j in PAIRS])
+    shapes = common.few(grouped(scored, ["g"], *[f"avg({k}{i} * {k}{j}) AS {k}{i}{j}" for k in "tu" for i, j in PAIRS]), total)
     related = lambda k, i, j: f"0.9D * coalesce(try_divide({k}{i}{j}, sqrt({k}{i}{i} * {k}{j}{j})), 0D)" if k else "0D"
     given = [f"named_struct('start', {at}, " + ", ".join(f"'c{i}{j}', d{i} * d{j}" + ("" if i == j else f" * {related(k, i, j)}") for i, j in PAIRS) + ")" for at, k in enumerate(("", "t", "u"))]
     return attached(shapes, middle).selectExpr("g", "n", *CENTRE, f"explode(array({', '.join(given)})) AS s").selectExpr("g", "n", *CENTRE, "s.*")
@@ -187,37 +188,39 @@ def towards(found: DataFrame, target: DataFrame | None, names: list[str], scale:
     return found.selectExpr(*mixed(own, [])) if target is None else attached(found, aims(target, names)).selectExpr(*mixed(own, names))
 
 
-def concentrate(rows: DataFrame, sizes: DataFrame, middle: DataFrame, ridge: list[float], target: DataFrame | None = None, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
+def concentrate(rows: DataFrame, sizes: DataFrame, middle: DataFrame, ridge: list[float], target: DataFrame | None = None, coverage: float = COVERAGE, steps: int = STEPS, total: int | None = None) -> DataFrame:
     """(g, m, c, l): the estimate with the least determinant that the concentration steps reach from any start."""
-    names = [*CENTRE, *SCATTER]
+    names, starting = [*CENTRE, *SCATTER], total and 3 * total
     frame = sizes if target is None else common.cut(attached(sizes, aims(target, names)))
-    current = common.cut(factor(towards(starts(rows, middle), target, names), ridge).drop("n"))
+    current = common.cut(factor(towards(starts(rows, middle, total), target, names), ridge).drop("n"))
     consistent = coverage / chi_square(chi_square_quantile(coverage), DIMENSIONS + 2)
     before = None
     for _ in range(steps):
         away = with_distance(attached(rows, current), "away", X)
-        bins = sums(away.withColumn("bin", bin_of("away")), "g", "start", "bin")
+        bins = common.few(sums(away.withColumn("bin", bin_of("away")), "g", "start", "bin"), starting)
         within = bins.selectExpr("*", "coalesce(sum(n) OVER (PARTITION BY g, start ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nearer", "sum(n) OVER (PARTITION BY g, start) AS every")
-        kept = moments(within.where(f"nearer < {coverage} * every"), "g", "start")
+        kept = common.few(moments(within.where(f"nearer < {coverage} * every"), "g", "start"), starting)
         found = attached(kept, frame).selectExpr(*mixed(scaled(["n", *kept.columns], consistent), names if target is not None else []))
         current = common.cut(factor(found, ridge).drop("n"), det=F.sum("det"))
         groups, now = common.rows_of(current), current.seen["det"]
         if not groups or before is not None and before - now < 1e-2 * groups:
             break
         before = now
-    return common.cut(grouped(current, ["g"], f"min_by(struct({', '.join([*names, *FACTOR])}), det) AS e").select("g", "e.*"))
+    best = grouped(current, ["g"], f"min_by(struct({', '.join([*names, *FACTOR])}), det) AS e").select("g", "e.*")
+    return common.cut(common.few(best, common.rows_of(current)))
 
 
-def estimate(rows: DataFrame, ridge: list[float], target: DataFrame | None = None, **limits) -> DataFrame:
+def estimate(rows: DataFrame, ridge: list[float], target: DataFrame | None = None, total: int | None = None, **limits) -> DataFrame:
     """(g, n, m, c): size, centre and scatter for each group g of (g, x0..x3) by the minimum covariance determinant, reweighted.
 
     `target` holds a centre and scatter for each g; with it, every estimate on the way is drawn towards it, so that few rows suffice.
     """
-    middle = common.cut(quartiles(rows))
+    middle = common.cut(quartiles(rows, total))
     sizes = common.renamed(middle, "g", "n")
     names, inner = [*CENTRE, *SCATTER], chi_square_quantile(0.975)
-    least = concentrate(rows, sizes, middle, ridge, target, **limits)
-    near = attached(moments(sums(with_distance(attached(rows, least), "away", X).where(f"away <= {inner}"), "g"), "g"), sizes)
+    least = concentrate(rows, sizes, middle, ridge, target, total=total, **limits)
+    near = moments(sums(with_distance(attached(rows, least), "away", X).where(f"away <= {inner}"), "g"), "g")
+    near = attached(common.few(near, total), sizes)
     near = towards(near.select("g", "n", *names), target, names, 0.975 / chi_square(inner, DIMENSIONS + 2)).selectExpr("g", *[f"{c} AS near_{c}" for c in names])
     joined = attached(least.select("g", *names), sizes).join(near, "g", "left")  # where none of its rows is near, the estimate before stays
     return joined.selectExpr("g", "n", *[f"coalesce(near_{c}, {c}) AS {c}" for c in names])
@@ -255,7 +258,7 @@ def by_scope(rows: DataFrame, groups: DataFrame, found) -> DataFrame:
         return target.join(own, "g", "left").selectExpr("g", "coalesce(own_n, 0L) AS n", *[f"if(own_n IS NULL, {c}, own_{c}) AS {c}" for c in names])
 
     every = found(rows.withColumn("g", F.lit("")), None).drop("n").withColumnRenamed("g", "in")
-    languages = groups.select(language_key("g").alias("g")).distinct().withColumn("in", F.lit(""))
+    languages = common.few(groups.select(language_key("g").alias("g")).distinct(), common.rows_of(groups)).withColumn("in", F.lit(""))
     target = common.cut(languages.join(F.broadcast(every), "in").drop("in"))  # `every` is one row
     wide = complete(found(rows.withColumn("g", language_key("g")), target), target).drop("n").withColumnRenamed("g", "in")
     wide = F.broadcast(wide) if common.rows_of(target) <= SENT_GROUPS else wide  # as many rows as `target`
@@ -267,13 +270,14 @@ def fit(stats: DataFrame, **limits) -> DataFrame:
     """(g, n, m, c, md, l) for every group g of rows with __s and __g: its medians, and the centre and factor its rows are judged by.
 
     There are no estimates if no row at all passes the plain limits."""
-    rows, groups = vectors(stats), common.cut(stats.select(F.col("__g").alias("g")).distinct())
-    medians = by_scope(rows, groups, lambda x, target: towards(quartiles(x).select("g", "n", *CENTRE), target, CENTRE))
+    rows, total = vectors(stats), common.rows_of(stats)
+    groups = common.cut(common.few(stats.select(F.col("__g").alias("g")).distinct(), total))
+    medians = by_scope(rows, groups, lambda x, target: towards(quartiles(x, total).select("g", "n", *CENTRE), target, CENTRE))
     medians = common.cut(medians.select("g", *[F.col(c).alias(f"md{i}") for i, c in enumerate(CENTRE)]))
     pulled = common.cut(attached(rows, medians).selectExpr("g", *[f"{drawn(c, i, 'words')} AS p{c}" for i, c in enumerate(X)]).toDF("g", *X))
-    spread = quartiles(pulled.withColumn("g", F.lit(""))).first()
+    spread = quartiles(pulled.withColumn("g", F.lit("")), total).first()
     ridge = [RIDGE * spread[f"d{i}"] ** 2 if spread else 1e-18 for i in range(DIMENSIONS)]
-    found = by_scope(pulled, groups, lambda x, target: estimate(x, ridge, target, **limits))
+    found = by_scope(pulled, groups, lambda x, target: estimate(x, ridge, target, total, **limits))
     return common.cut(factor(attached(found, medians), ridge))
 
 
@@ -302,7 +306,7 @@ def cut_of(stats: DataFrame, estimates: DataFrame) -> float:
     low, high = (chi_square_quantile(1 - t) for t in TAILS)
     around = math.exp((AROUND + 1) / FINE)
     near = with_distance(rows, "d", judged_vector()).where(f"d BETWEEN {low / around} AND {high * around}")
-    return least_dense(dict(near.groupBy(bin_of("d")).count().collect()))
+    return least_dense(dict(common.few(near.groupBy(bin_of("d")).count(), common.rows_of(stats)).collect()))
 
 
 def judge(stats: DataFrame, estimates: DataFrame, cut: float) -> DataFrame:

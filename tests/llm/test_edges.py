@@ -124,3 +124,14 @@ def test_workers_keep_no_hashes_between_tasks(spark):
             neardup.grams(b"some words of this task alone")
 
     assert {r["held"] for r in common.map_batches(spark.range(0, 32, 1, 32), work, "held long").collect()} == {0}
+
+
+def test_the_driver_gives_memory_back(spark, monkeypatch):
+    """Writing a table has the driver collect its garbage, at most once in a while."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    collected = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    monkeypatch.setattr(common, "_GIVEN_BACK", [0.0], raising=False)
+    before = collected()
+    for _ in range(3):
+        assert common.rows_of(common.cut(spark.range(5))) == 5
+    assert collected() - before == 1

@@ -3,6 +3,8 @@
 import itertools
 import math
 import random
+from pathlib import Path
+from urllib.parse import urlparse
 import re
 import string
 from collections import Counter, defaultdict
@@ -315,3 +317,29 @@ def test_estimates_take_few_queries(spark):
     before = ran()
     assert quality.fit(stats, steps=2).count() > 0
     assert ran() - before < 35  # each leaves threads and blocks with the driver
+
+
+def test_estimates_take_few_tasks(spark):
+    """Aggregates of few rows take few tasks and files, however many partitions a shuffle has; the driver keeps something of each."""
+    rnd = random.Random(6)
+    docs = spark.createDataFrame([(" ".join("".join(rnd.choices("abcdEF,", k=rnd.randint(2, 9))) for _ in range(90)), "en", f"s{k % 5}") for k in range(100)], "text string, lang string, source string").repartition(2)
+    stats = common.cut(quality.with_statistics(docs).select("__s", "__g"))
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, context = {k: spark.conf.get(k) for k in held}, spark.sparkContext
+    written, tracker = len(common._PATHS), context.statusTracker()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few tasks", "")
+        fitted = quality.fit(stats, steps=2)
+        judged = {tuple(r) for r in quality.judge(stats, fitted, quality.cut_of(stats, fitted)).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = {s for job in tracker.getJobIdsForGroup("few tasks") for s in tracker.getJobInfo(job).stageIds}
+    tasks = [info.numTasks for s in stages if (info := tracker.getStageInfo(s))]
+    files = [p.name for path in common._PATHS[written:] for p in Path(urlparse(path).path).iterdir() if not p.name.startswith(".")]
+    assert len(tasks) > 20 and len(files) < 60 and not any("SUCCESS" in f for f in files)
+    assert sum(n > 10 for n in tasks) <= 12, sorted(tasks)
+    assert len(judged) >= 90
