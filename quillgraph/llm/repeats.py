@@ -1,11 +1,13 @@
-"""Removal of repeated substrings: every byte covered by a string of `length` bytes that starts anywhere else too.
+"""Removal of repeated substrings: every byte covered by a string of `length` bytes that starts anywhere else too. The same run can
+tell what strings of a shorter length, `least`, cover.
 
-1. Anchors. In each window of `length` bytes, the k-mer with the smallest hash is the window's anchor, so equal windows share it.
-   Windows in a row with one anchor form a segment. Segments whose anchor occurs once in the corpus hold nothing repeated.
+1. Anchors. In each window of bytes, the k-mer with the smallest hash is the window's anchor, so equal windows share it. Windows in a row
+   with one anchor, of both lengths, form a segment. Segments whose anchor occurs once in the corpus hold nothing repeated.
 2. Segments with one anchor and equal bytes are a class; all windows of a class of two or more are repeated.
-3. What is left to compare are classes with one anchor and different bytes. Whole anchor groups go, in blocks of bounded size, through
-   a Burrows-Wheeler transform: common prefixes are derived by increasing value from breadth-first backward extension of intervals,
-   up to `length`; boundaries without a value by then have a common prefix of at least `length`.
+3. What is left to compare are classes with one anchor and different bytes. Of each anchor group, what lies around bytes that several
+   segments share goes, in blocks of bounded size, through a Burrows-Wheeler transform: common prefixes are derived by increasing value
+   from breadth-first backward extension of intervals, up to `length`; boundaries without a value by then have a common prefix of at
+   least `length`. Windows that have the segment's own anchor are counted, so no place is counted twice.
 4. Anchor groups over a bound are never brought together: their segments are cut into shorter ranges of windows, keyed by the bytes all
    windows of a range share, and go through step 2 again: first ranges of 46 windows, then single windows, which equality decides.
 
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from quillgraph.llm import common
 
 LENGTH, KMER = 400, 32
+#: Shorter repeated strings that op10 reports but leaves: passages of over 50 words have some 270 bytes and more.
+PASSAGE = 250
 #: Largest group of different segments that is compared in one block, bytes of a block, and windows of a range of larger groups.
 GROUP, BLOCK, RANGE = 2000, 1 << 20, 46
 #: Up to so many texts, the lists of their ranges (under 200 bytes a row) are sent to all tasks instead of shuffling all texts to them.
@@ -33,7 +37,7 @@ SENT_TEXTS = 100_000
 PART = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 POSITION = np.uint64((1 << 28) - 1)
-SEGMENTS = "ah long, sh long, id long, th long, lo int, n int, off int"
+SEGMENTS = "ah long, sh long, id long, th long, lo int, size int, off int"
 
 
 class Powers:
@@ -78,14 +82,15 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def parts(texts: list[bytes | None], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Joined bytes with, for each stretch of a text: its row, its start in the text, and bounds in the joined bytes (one more than stretches)."""
+def parts(texts: list[bytes | None], length: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Joined bytes with, for each stretch of a text of at least `least` bytes: its row, its start in the text, and bounds in the joined bytes
+    (one more than stretches). A stretch holds all windows that contain any of its PART places, counted from `length` on but for the first."""
     held, rows, starts, total = [], [], [], 0
     for row, text in enumerate(texts):
-        for at in range(0, len(text or b"") - length + 1, PART):
-            held.append(text[at : at + PART + length - 1])
+        for at in range(0, len(text or b"") if len(text or b"") >= least else 0, PART):
+            held.append(text[max(0, at - length) : at + PART + length])
             rows.append(row)
-            starts.append(at)
+            starts.append(max(0, at - length))
             total += len(held[-1])
             if total >= PART:
                 yield np.frombuffer(b"".join(held), np.uint8), np.array(rows), np.array(starts), common.slices(np.array([len(x) for x in held]))
@@ -94,45 +99,70 @@ def parts(texts: list[bytes | None], length: int) -> Iterator[tuple[np.ndarray,
         yield np.frombuffer(b"".join(held), np.uint8), np.array(rows), np.array(starts), common.slices(np.array([len(x) for x in held]))
 
 
-def segments(keyed: DataFrame, length: int, k: int) -> DataFrame:
-    """Rows SEGMENTS for texts keyed by (id, th): anchor hash, hash of the bytes, first window, number of windows, offset of the anchor."""
+def runs_of(key: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of runs of valid places with one key; an invalid place lies between equal keys of two runs."""
+    first = valid.copy()
+    first[1:] &= (key[1:] != key[:-1]) | ~valid[:-1]
+    last = valid.copy()
+    last[:-1] &= first[1:] | ~valid[1:]
+    return np.flatnonzero(first), np.flatnonzero(last)
+
+
+def segments(keyed: DataFrame, length: int, k: int, least: int) -> DataFrame:
+    """Rows SEGMENTS for texts keyed by (id, th): anchor hash, hash of the bytes, start, number of bytes, offset of the anchor."""
 
     def work(batches):
         for batch in batches:
             ids, hashes = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in (0, 1))
-            for data, rows, starts, bounds in parts(common.as_bytes(batch.column(2)), length):
+            for data, rows, starts, bounds in parts(common.as_bytes(batch.column(2)), length, least):
                 h = Hashes(data)
                 kmers = h.all(k)
-                least = sliding_min((kmers & ~POSITION) | np.arange(len(kmers), dtype=np.uint64), length - k + 1)
-                anchor = (least & POSITION).astype(np.int64)
-                stretch = np.repeat(np.arange(len(rows)), np.diff(bounds))[: len(anchor)]
-                valid = np.arange(len(anchor)) + length <= bounds[1:][stretch]
-                first = valid.copy()
-                first[1:] &= (anchor[1:] != anchor[:-1]) | (stretch[1:] != stretch[:-1])
-                low = np.flatnonzero(first)
-                last = valid.copy()
-                last[:-1] &= first[1:] | ~valid[1:]
-                high = np.flatnonzero(last)
-                off = anchor[low] - low
-                sh = common.mix(h.of(low, high + length) ^ common.mix(off.astype(np.uint64)))
-                at = rows[stretch[low]]
-                yield {"ah": kmers[anchor[low]].view(np.int64), "sh": sh.view(np.int64), "id": ids[at], "th": hashes[at], "lo": (low - bounds[stretch[low]] + starts[stretch[low]]).astype(np.int32), "n": (high - low + 1).astype(np.int32), "off": off.astype(np.int32)}
+                placed = (kmers & ~POSITION) | np.arange(len(kmers), dtype=np.uint64)
+                stretch = np.repeat(np.arange(len(rows)), np.diff(bounds))
+                found = []
+                for size in sorted({length, least}):
+                    if len(data) < size:
+                        continue
+                    anchor = (sliding_min(placed, size - k + 1) & POSITION).astype(np.int64)
+                    low, high = runs_of(anchor, np.arange(len(anchor)) + size <= bounds[1:][stretch[: len(anchor)]])
+                    found.append((anchor[low], low, high + size))
+                # a place that is the anchor of long windows is the anchor of short ones inside them, which the long ones cover
+                p, low, high = found[0]
+                for longer, a, b in found[1:]:
+                    at = np.searchsorted(p, longer)
+                    low[at], high[at] = a, b
+                place = p - bounds[stretch[p]] + starts[stretch[p]]
+                own = (place // PART * PART - length).clip(0) == starts[stretch[p]]
+                p, low, high = p[own], low[own], high[own]
+                off = p - low
+                sh = common.mix(h.of(low, high) ^ common.mix(off.astype(np.uint64)))
+                at = rows[stretch[p]]
+                yield {"ah": kmers[p].view(np.int64), "sh": sh.view(np.int64), "id": ids[at], "th": hashes[at], "lo": (low - bounds[stretch[p]] + starts[stretch[p]]).astype(np.int32), "size": (high - low).astype(np.int32), "off": off.astype(np.int32)}
 
     return common.map_batches(keyed, work, SEGMENTS)
 
 
+def own_windows(size, off, length: int, k: int):
+    """First and last windows of `length` bytes, from the start of a segment of so many bytes, that have its anchor (last < first: none).
+
+    A segment reaches as far as its anchor does, so any window in it that holds the anchor and starts no later has it."""
+    return np.maximum(off - (length - k), 0), np.minimum(off, size - length)
+
+
 def refine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split SEGMENTS rows into windows known to be repeated (id, th, lo, n) and representatives still to be compared.
+    """Split SEGMENTS rows (and more columns, equal in a class) into those known to be repeated (id, th, lo, size, more) and representatives
+    still to be compared.
 
-    Representatives (SEGMENTS and k, the number of classes of their anchor) are one of each class, of anchors with at least two
+    Representatives (SEGMENTS, more and k, the number of classes of their anchor) are one of each class, of anchors with at least two
     classes of which one has a single member. Rows of hot classes and anchors are never brought together.
     """
+    more = rows.columns[7:]
     rows = common.cut(rows)
-    classes = common.cut(rows.groupBy("ah", "sh").agg(F.count("*").alias("members"), F.min(F.struct("id", "th", "lo")).alias("rep"), F.first("n").alias("n"), F.first("off").alias("off")))
+    classes = common.cut(rows.groupBy("ah", "sh").agg(F.count("*").alias("members"), F.min(F.struct("id", "th", "lo")).alias("rep"), *[F.first(c).alias(c) for c in ("size", "off", *more)]))
     several = classes.where("members > 1").select("ah", "sh", "members")
-    known = common.join_weighted(rows, several, ["ah", "sh"], "members", common.rows_of(rows)).select("id", "th", "lo", "n")
+    known = common.join_weighted(rows, several, ["ah", "sh"], "members", common.rows_of(rows)).select("id", "th", "lo", "size", *more)
     groups = common.cut(classes.groupBy("ah").agg(F.count("*").alias("k"), F.min("members").alias("least")).where("k > 1 and least = 1"))
-    return known, common.join_weighted(classes, groups, ["ah"], "k", common.rows_of(classes)).select("ah", "sh", "rep.*", "n", "off", "k")
+    return known, common.join_weighted(classes, groups, ["ah"], "k", common.rows_of(classes)).select("ah", "sh", "rep.*", "size", "off", *more, "k")
 
 
 def listed(rows: DataFrame, *columns: str) -> DataFrame:
@@ -142,7 +172,7 @@ def listed(rows: DataFrame, *columns: str) -> DataFrame:
 
 def with_bytes(keyed: DataFrame, reps: DataFrame, few: bool = False) -> DataFrame:
     """(id, th, text, list) of texts that have representatives; of repeated rows with equal keys, one is enough."""
-    lists = listed(reps, "ah", "lo", "n", "off")
+    lists = listed(reps, "ah", "lo", "size", "off", "only")
     if few:
         lists = common.cut(lists)
         texts, ranges = lists.agg(F.count("*"), F.sum(F.size("list"))).first()
@@ -150,30 +180,38 @@ def with_bytes(keyed: DataFrame, reps: DataFrame, few: bool = False) -> DataFram
     return keyed.join(F.broadcast(lists) if few else lists.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "list")
 
 
-def shorter(lists: DataFrame, windows: int, length: int) -> DataFrame:
-    """Cut segments into ranges of `windows` windows, counted from the anchor: rows SEGMENTS keyed by the bytes
-    that all windows of a whole range share (a segment may hold only some of them)."""
-    windows = min(windows, length)
+def shorter(lists: DataFrame, windows: int, lengths: list[int], k: int) -> DataFrame:
+    """Cut segments into ranges of `windows` windows of one length, counted from the anchor: rows SEGMENTS keyed by the bytes
+    that all windows of a whole range share (a segment may hold only some of them), and that length as `only`."""
 
     def work(batches):
         for batch in batches:
             for key, th, text, ranges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 h = Hashes(np.frombuffer(text, np.uint8))
-                given = {(r["ah"], r["lo"], r["n"], r["off"]) for r in ranges}
-                ah, lo, n, off = (np.array(x, np.int64) for x in zip(*sorted(given), strict=True))
-                start = common.ranges(lo, n)
-                p, of, ah = np.repeat(lo + off, n), np.repeat(np.arange(len(lo)), n), np.repeat(ah, n)
-                place = (p - start) // windows
-                new = np.concatenate([[True], (place[1:] != place[:-1]) | (of[1:] != of[:-1])])
-                low = np.flatnonzero(new)
-                high = np.concatenate([low[1:], [len(start)]]) - 1
-                a, b, p, place = start[low], start[high], p[low], place[low]
-                tag = common.mix(ah[low].view(np.uint64) + common.mix(place.astype(np.uint64)))
-                core = common.mix(h.of(p - place * windows, p - (place + 1) * windows + 1 + length) ^ tag)
-                hull = common.mix(h.of(a, b + length) ^ common.mix((p - a).astype(np.uint64)))
-                yield {"ah": core.view(np.int64), "sh": hull.view(np.int64), "id": np.full(len(a), key), "th": np.full(len(a), th), "lo": a.astype(np.int32), "n": (b - a + 1).astype(np.int32), "off": (p - a).astype(np.int32)}
-
-    return common.map_batches(lists, work, SEGMENTS)
+                for length in lengths:
+                    given = {(r["ah"], r["lo"], r["size"], r["off"]) for r in ranges if r["only"] in (0, length)}
+                    if given:
+                        yield from cut(key, th, h, given, length, min(windows, length - k + 1))
+
+    def cut(key, th, h, given, length, windows):
+        ah, lo, size, off = (np.array(x, np.int64) for x in zip(*sorted(given), strict=True))
+        first, last = own_windows(size, off, length, k)
+        n = np.maximum(last - first + 1, 0)
+        start = common.ranges(lo + first, n)
+        if not len(start):
+            return
+        p, of, ah = np.repeat(lo + off, n), np.repeat(np.arange(len(lo)), n), np.repeat(ah, n)
+        place = (p - start) // windows
+        new = np.concatenate([[True], (place[1:] != place[:-1]) | (of[1:] != of[:-1])])
+        low = np.flatnonzero(new)
+        high = np.concatenate([low[1:], [len(start)]]) - 1
+        a, b, p, place = start[low], start[high], p[low], place[low]
+        tag = common.mix(ah[low].view(np.uint64) + common.mix(place.astype(np.uint64) + np.uint64(length << 32)))
+        core = common.mix(h.of(p - place * windows, p - (place + 1) * windows + 1 + length) ^ tag)
+        hull = common.mix(h.of(a, b + length) ^ common.mix((p - a).astype(np.uint64)))
+        yield {"ah": core.view(np.int64), "sh": hull.view(np.int64), "id": np.full(len(a), key), "th": np.full(len(a), th), "lo": a.astype(np.int32), "size": (b - a + length).astype(np.int32), "off": (p - a).astype(np.int32), "only": np.full(len(a), length, np.int32)}
+
+    return common.map_batches(lists, work, SEGMENTS + ", only int")
 
 
 def depth_sorted(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +221,7 @@ def depth_sorted(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.
     keys = np.zeros(n + 7, np.int64)
     keys[:n] = t
     keys = sum(keys[j : j + n] << (9 * (6 - j)) for j in range(7))
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     rank = np.zeros(n + depth + 8, np.int64)
@@ -195,7 +233,7 @@ def depth_sorted(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.
         slots = np.flatnonzero(tied)
         at = order[slots]
         key = rank[at] * (n + 2) + rank[np.minimum(at + h, n)]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         key, at = key[by], at[by]
         order[slots] = at
         new = np.concatenate([[True], key[1:] != key[:-1]])
@@ -227,7 +265,7 @@ def common_prefixes(t: np.ndarray, length: int, warm: int = 28) -> tuple[np.ndar
     bwt = t[order - 1].copy()
     bwt[order == 0] = 0
     last_first = np.empty(n, np.int64)
-    last_first[np.argsort(bwt, kind="stable")] = np.arange(n)
+    last_first[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(n)
     level = max(warm, 1)
     starts = np.flatnonzero((prefix[:n] >= 0) & (prefix[:n] < level))
     ends = np.concatenate([starts[1:], [n]])
@@ -256,52 +294,102 @@ def common_prefixes(t: np.ndarray, length: int, warm: int = 28) -> tuple[np.ndar
 
 def repeated_windows(pieces: list[bytes], length: int) -> list[np.ndarray]:
     """For each piece, which of its windows (by start) are found twice or more in all pieces."""
+    return repeated_own(pieces, [length], [(np.zeros(len(pieces), np.int64), np.array([len(p) - length for p in pieces]))])[0]
+
+
+def repeated_own(pieces: list[bytes], lengths: list[int], own: list[tuple[np.ndarray, np.ndarray]]) -> list[list[np.ndarray]]:
+    """For each length and piece, which of its windows (by start) are found twice or more among the windows that count: those from a first
+    to a last one of each piece, given for each length."""
     t = np.zeros(sum(map(len, pieces)) + len(pieces), np.int64)
     bounds = common.slices(np.array([len(p) + 1 for p in pieces]))
     for p, at in zip(pieces, bounds, strict=False):
         t[at : at + len(p)] = np.frombuffer(p, np.uint8)
         t[at : at + len(p)] += 1
-    prefix, order = common_prefixes(t, length)
-    again = np.zeros(len(t), bool)
-    again[order] = (prefix[:-1] < 0) | (prefix[1:] < 0)
-    return [again[at : at + max(0, len(p) - length + 1)] for p, at in zip(pieces, bounds, strict=False)]
-
-
-def compare(lists: DataFrame, length: int, block: int) -> DataFrame:
-    """Windows (id, th, lo, n) of representatives that are repeated within their anchor's group; groups are within the bound."""
+    prefix, order = common_prefixes(t, max(lengths))
+    out = []
+    for length, (first, last) in zip(lengths, own, strict=True):
+        counted = np.zeros(len(t), bool)
+        counted[common.ranges(bounds[:-1] + first, np.maximum(last - first + 1, 0))] = True
+        equal = np.cumsum((prefix[:-1] >= 0) & (prefix[:-1] < length))
+        some = np.flatnonzero(counted[order])
+        again = np.zeros(len(t), bool)
+        again[order[some]] = np.bincount(equal[some], minlength=equal[-1] + 1 if len(equal) else 0)[equal[some]] > 1
+        out.append([again[at : at + max(0, len(p) - length + 1)] for p, at in zip(pieces, bounds, strict=False)])
+    return out
+
+
+def contenders(group: dict, length: int, k: int) -> Iterator[tuple]:
+    """Of the segments of an anchor, by (id, th, lo), the stretches in which a window of `length` bytes with that anchor can be found in another
+    one as well: (id, th, lo, offset of the anchor, bytes).
+
+    Windows are taken in ranges counted from the anchor, as in `shorter`; the bytes that all windows of a range share must be in two
+    segments. Longer windows hold such a window, so they cannot reach beyond the stretch, unless its anchor's windows do not either."""
+    windows = min(RANGE, length - k + 1)
+    cores, seen = {}, {}
+    for place, (off, data) in group.items():
+        first, last = own_windows(len(data), off, length, k)
+        for r in range((off - last) // windows, (off - first) // windows + 1) if first <= last else ():
+            core = r, data[off - r * windows : off - (r + 1) * windows + 1 + length]
+            cores.setdefault(place, []).append(core)
+            seen[core] = seen.get(core, 0) + 1
+    for place, held in cores.items():
+        found = [r for r, core in held if seen[r, core] > 1]
+        if found:
+            off, data = group[place]
+            first, last = own_windows(len(data), off, length, k)
+            first, last = max(first, off - (found[-1] + 1) * windows + 1), min(last, off - found[0] * windows)
+            low = first if first > off - (length - k) else 0
+            high = last + length if last < off else len(data)
+            key, th, lo = place
+            yield key, th, lo + low, off - low, data[low:high]
+
+
+def compare(lists: DataFrame, length: int, least: int, k: int, block: int) -> DataFrame:
+    """Bytes (id, th, lo, size, only) that repeated windows of representatives cover, repeated within their anchor's group; groups are within
+    the bound. With 0 as `only`, windows of both lengths are sought."""
 
     def cut_out(batches):
         for batch in batches:
             for key, th, text, ranges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                given = sorted({(r["ah"], r["lo"], r["n"]) for r in ranges})
-                yield {"ah": [a for a, _, _ in given], "id": [key] * len(given), "th": [th] * len(given), "lo": [x for _, x, _ in given], "bytes": [text[lo : lo + n + length - 1] for _, lo, n in given]}
+                given = sorted({(r["ah"], r["lo"], r["size"], r["off"], r["only"]) for r in ranges})
+                ah, lo, _, off, only = zip(*given, strict=True)
+                yield {"ah": ah, "id": [key] * len(given), "th": [th] * len(given), "lo": lo, "off": off, "only": only, "bytes": [text[x : x + size] for _, x, size, _, _ in given]}
 
     def blocks(batches):
-        held, size, last = {}, 0, None
+        held, size, group, last, sought = [], 0, {}, None, 0
         for batch in batches:
-            for ah, key, th, lo, data in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if ah != last and size >= block:
-                    yield from solve(held)
-                    held, size = {}, 0
-                if (key, th, lo, ah) not in held:
-                    held[key, th, lo, ah] = data
-                    size += len(data)
-                last = ah
-        yield from solve(held)
+            for ah, key, th, lo, off, only, data in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                if ah != last:
+                    fresh = [(sought, *x) for x in contenders(group, sought or least, k)]
+                    held += fresh
+                    size += sum(len(x[-1]) for x in fresh)
+                    group, last, sought = {}, ah, only
+                    if size >= block:
+                        yield from solve(held)
+                        held, size = [], 0
+                group[key, th, lo] = off, data
+        yield from solve(held + [(sought, *x) for x in contenders(group, sought or least, k)])
 
     def solve(held):
         if not held:
             return
-        out = {"id": [], "th": [], "lo": [], "n": []}
-        for (key, th, lo, _), again in zip(held, repeated_windows(list(held.values()), length), strict=True):
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])))
-            for a, b in edges.reshape(-1, 2).tolist():
-                for name, value in zip(out, (key, th, lo + a, b - a), strict=True):
-                    out[name].append(value)
+        out = {"id": [], "th": [], "lo": [], "size": [], "only": []}
+        only, off, sizes = np.array([(only, off, len(data)) for only, _, _, _, off, data in held]).T
+        lengths = sorted({length, least})
+        own = []
+        for n in lengths:
+            first, last = own_windows(sizes, off, n, k)
+            own.append((first, np.where((only == 0) | (only == n), last, first - 1)))
+        for n, flags in zip(lengths, repeated_own([x[-1] for x in held], lengths, own), strict=True):
+            for (_, key, th, lo, _, _), again in zip(held, flags, strict=True):
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])))
+                for a, b in edges.reshape(-1, 2).tolist():
+                    for name, value in zip(out, (key, th, lo + a, b - a + n - 1, n), strict=True):
+                        out[name].append(value)
         yield out
 
-    pieces = common.map_batches(lists, cut_out, "ah long, id long, th long, lo int, bytes binary")
-    return common.map_batches(pieces.repartition("ah").sortWithinPartitions("ah"), blocks, "id long, th long, lo int, n int")
+    pieces = common.map_batches(lists, cut_out, "ah long, id long, th long, lo int, off int, only int, bytes binary")
+    return common.map_batches(pieces.repartition("ah").sortWithinPartitions("ah"), blocks, "id long, th long, lo int, size int, only int")
 
 
 def keyed_texts(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -317,31 +405,34 @@ def ident(key: str):
     return F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, k: int = KMER, group: int = GROUP, block: int = BLOCK, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, th, list of <lo, n>): all repeated windows of every text that has some."""
+def repeated(docs: DataFrame, length: int = LENGTH, k: int = KMER, group: int = GROUP, block: int = BLOCK, text: str = "text", key: str = "doc_id", least: int | None = None) -> DataFrame:
+    """(id, th, list of <lo, size, only>): what repeated windows cover in every text that has some. Windows are of `length` bytes; those of `least`
+    bytes, if it is given, are listed too, with `least` as `only` where no window of `length` bytes need be repeated."""
+    least = least or length
     keyed = keyed_texts(docs, text, key)
-    known, reps = refine(segments(keyed, length, k))
+    known, reps = refine(segments(keyed, length, k, least).withColumn("only", F.lit(0)))
     reps = common.cut(reps)
     found, small = [known], reps.where(F.col("k") <= group)
     for windows in (RANGE, 1):
         large = reps.where(F.col("k") > group)
         if large.isEmpty():
             break
-        known, reps = refine(shorter(with_bytes(keyed, large, few=True), windows, length))
+        known, reps = refine(shorter(with_bytes(keyed, large, few=True), windows, sorted({length, least}), k))
         found.append(known)
         reps = common.cut(reps)
         small = small.union(reps.where(F.col("k") <= group))
-    found.append(compare(with_bytes(keyed, small), length, block))
+    found.append(compare(with_bytes(keyed, small), length, least, k, block))
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
-    return listed(every, "lo", "n")
+    whole = (F.col("size") >= length) & F.col("only").isin(0, length)
+    return listed(every.withColumn("only", F.when(whole, length).otherwise(least)), "lo", "size", "only")
 
 
-def spans(ranges: list[dict], length: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes covered by windows."""
+def spans(ranges: list[dict], length: int = 0) -> list[tuple[int, int]]:
+    """Maximal runs of bytes covered by windows of at least so many bytes."""
     out: list[list[int]] = []
-    for low, high in sorted((r["lo"], r["lo"] + r["n"] - 1 + length) for r in ranges or ()):
+    for low, high in sorted((r["lo"], r["lo"] + r["size"]) for r in ranges or () if r["only"] >= length):
         if out and low <= out[-1][1]:
             out[-1][1] = max(out[-1][1], high)
         else:
@@ -354,27 +445,28 @@ def without(text: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
 
 
-def digest(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", **bounds) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def digest(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", least: int | None = None, **bounds) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with `least`, also n_repeated: bytes covered by strings of
+    `least` bytes that start elsewhere too, removed or not.
 
     Null and empty texts have no bytes. Strings are judged on the input, and rows that are repeated count as places, so all long texts
     among equal ones are removed whole. Null ids stay null; an empty table gives an empty result; no other column is read.
     """
-    ranges = repeated(docs, length, text=text, key=key, **bounds)
+    ranges = repeated(docs, length, text=text, key=key, least=least, **bounds)
     rows = keyed_texts(docs, text, key)  # the same rows that the comparison shuffles, so Spark reuses that exchange
     joined = rows.join(ranges.hint("shuffle_hash"), ["id", "th"], "left").select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "text", "list")
 
     def work(batches):
         for batch in batches:
-            out = {name: [] for name in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
+            out = {name: [] for name in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["n_repeated"] * bool(least))}
             for doc, value, ranges in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 value, removed = value or b"", spans(ranges, length)
-                row = (doc, len(value), sum(b - a for a, b in removed), len(removed), hashlib.sha256(without(value, removed)).hexdigest())
-                for name, x in zip(out, row, strict=True):
+                row = (doc, len(value), sum(b - a for a, b in removed), len(removed), hashlib.sha256(without(value, removed)).hexdigest(), sum(b - a for a, b in spans(ranges)))
+                for name, x in zip(out, row, strict=False):
                     out[name].append(x)
             yield out
 
-    return common.map_batches(joined, work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return common.map_batches(joined, work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_repeated long" * bool(least))
 
 
 def remove(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", **bounds) -> DataFrame:
@@ -398,7 +490,7 @@ def remove(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str =
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(common.table(spark, sf_dir, "documents"))
+    return digest(common.table(spark, sf_dir, "documents"), least=PASSAGE)
 
 
 QUERIES = {"op10_suffix_array_dedup": op10_suffix_array_dedup}

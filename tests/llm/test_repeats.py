@@ -77,3 +77,34 @@ def test_windows_of_pieces():
                 counts[p[i : i + 12]] += 1
         got = repeats.repeated_windows(pieces, 12)
         assert [g.tolist() for g in got] == [[counts[p[i : i + 12]] > 1 for i in range(max(0, len(p) - 11))] for p in pieces]
+
+
+def covered(rows, length):
+    """Number of bytes that strings of `length` bytes that start elsewhere too cover, by (id, text)."""
+    return sorted(((doc, size, gone) for doc, size, gone, _, _ in brute(rows, length)), key=str)
+
+
+@pytest.mark.parametrize(("seed", "length", "least", "group", "block"), [(1, 100, 50, 4000, 1 << 20), (2, 120, 70, 4000, 3000), (3, 90, 60, 3, 2000), (4, 400, 250, 2, 5000), (5, 400, 250, 2000, 1 << 20)])
+def test_shorter_strings_are_counted_and_left(spark, seed, length, least, group, block):
+    rows = corpus(seed)
+    df = spark.createDataFrame([(a, b, "clash") for a, b in rows], SCHEMA).repartition(3)
+    got = [tuple(r) for r in repeats.digest(df, length, k=16, group=group, block=block, least=least).collect()]
+    assert sorted((r[:5] for r in got), key=str) == brute(rows, length)
+    assert sorted(((r[0], r[1], r[5]) for r in got), key=str) == covered(rows, least)
+
+
+def test_strings_across_parts_of_long_texts(spark):
+    rnd = random.Random(9)
+    text = "".join(rnd.choices("abcdefgh ", k=2 * repeats.PART + 100))
+    first, second = repeats.PART, 2 * repeats.PART
+    rows = [(1, text, "a"), (2, "left" + text[first - 500 : first + 20] + "-" + text[first + 100 : first + 400] + "right", "b"), (3, text[second - 260 : second + 90], "c")]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["n_repeated"]) for r in repeats.digest(spark.createDataFrame(rows, SCHEMA), least=repeats.PASSAGE).collect()}
+    assert got == {1: (520, 1, 1170), 2: (520, 1, 820), 3: (0, 0, 350)}
+
+
+def test_op10_counts_passages_below_its_length(spark, tmp_path):
+    passage, other = ("".join(random.Random(n).choices("abcdefgh ", k=300)) for n in (1, 2))
+    rows = [(1, "one " + passage + other[:150], "a"), (2, other[150:] + passage, "b"), (3, other[:60], "c")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_removed"], r["n_repeated"]) for r in repeats.op10_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, 300), 2: (0, 300), 3: (0, 0)}
