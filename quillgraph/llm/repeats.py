@@ -119,11 +119,13 @@ def segments(keyed: DataFrame, length: int, k: int, least: int) -> DataFrame:
                 kmers = h.all(k)
                 placed = (kmers & ~POSITION) | np.arange(len(kmers), dtype=np.uint64)
                 stretch = np.repeat(np.arange(len(rows)), np.diff(bounds))
-                found = []
+                found, lowest = [], sliding_min(placed, least - k + 1)
                 for size in sorted({length, least}):
                     if len(data) < size:
                         continue
-                    anchor = (sliding_min(placed, size - k + 1) & POSITION).astype(np.int64)
+                    if size > least:
+                        lowest = np.minimum(lowest[: least - size], lowest[size - least :]) if size - k + 1 <= 2 * (least - k + 1) else sliding_min(placed, size - k + 1)
+                    anchor = (lowest & POSITION).astype(np.int64)
                     low, high = runs_of(anchor, np.arange(len(anchor)) + size <= bounds[1:][stretch[: len(anchor)]])
                     found.append((anchor[low], low, high + size))
                 # a place that is the anchor of long windows is the anchor of short ones inside them, which the long ones cover
@@ -153,16 +155,16 @@ def refine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split SEGMENTS rows (and more columns, equal in a class) into those known to be repeated (id, th, lo, size, more) and representatives
     still to be compared.
 
-    Representatives (SEGMENTS, more and k, the number of classes of their anchor) are one of each class, of anchors with at least two
-    classes of which one has a single member. Rows of hot classes and anchors are never brought together.
+    Representatives (SEGMENTS, more and k, the number of classes of their anchor) are one of each class, whichever comes first, of anchors
+    with at least two classes of which one has a single member. Rows of hot classes and anchors are never brought together.
     """
     more = rows.columns[7:]
     rows = common.cut(rows)
-    classes = common.cut(rows.groupBy("ah", "sh").agg(F.count("*").alias("members"), F.min(F.struct("id", "th", "lo")).alias("rep"), *[F.first(c).alias(c) for c in ("size", "off", *more)]))
+    classes = common.cut(rows.groupBy("ah", "sh").agg(F.count("*").alias("members"), *[F.first(c).alias(c) for c in ("id", "th", "lo", "size", "off", *more)]))
     several = classes.where("members > 1").select("ah", "sh", "members")
     known = common.join_weighted(rows, several, ["ah", "sh"], "members", common.rows_of(rows)).select("id", "th", "lo", "size", *more)
     groups = common.cut(classes.groupBy("ah").agg(F.count("*").alias("k"), F.min("members").alias("least")).where("k > 1 and least = 1"))
-    return known, common.join_weighted(classes, groups, ["ah"], "k", common.rows_of(classes)).select("ah", "sh", "rep.*", "size", "off", *more, "k")
+    return known, common.join_weighted(classes, groups, ["ah"], "k", common.rows_of(classes)).select("ah", "sh", "id", "th", "lo", "size", "off", *more, "k")
 
 
 def listed(rows: DataFrame, *columns: str) -> DataFrame:
@@ -257,15 +259,17 @@ def common_prefixes(t: np.ndarray, length: int, warm: int = 28) -> tuple[np.ndar
     open_at = np.arange(1, n)
     padded = np.concatenate([keys, np.zeros(warm + 1, np.int64)])
     for at in range(0, warm, 7):
-        differ = padded[order[open_at - 1] + at] ^ padded[order[open_at] + at]
-        for j in range(7):
-            found = (differ >> (9 * (6 - j))) > 0
-            prefix[open_at[found]] = at + j
-            open_at, differ = open_at[~found], differ[~found]
-    bwt = t[order - 1].copy()
+        ahead = padded[order + at]
+        differ = ahead[open_at - 1] ^ ahead[open_at]
+        found = differ > 0
+        differ = differ[found]
+        # the highest bit that differs; without its lower neighbours, so the float is not rounded up to the next one
+        prefix[open_at[found]] = at + 7 - (np.frexp((differ & ~(differ >> 1)).astype(np.float64))[1] + 8) // 9
+        open_at = open_at[~found]
+    bwt = t.astype(np.uint16)[order - 1]
     bwt[order == 0] = 0
-    last_first = np.empty(n, np.int64)
-    last_first[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(n)
+    last_first = np.empty(n, np.int32)
+    last_first[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
     level = max(warm, 1)
     starts = np.flatnonzero((prefix[:n] >= 0) & (prefix[:n] < level))
     ends = np.concatenate([starts[1:], [n]])
@@ -410,7 +414,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, k: int = KMER, group: int =
     bytes, if it is given, are listed too, with `least` as `only` where no window of `length` bytes need be repeated."""
     least = least or length
     keyed = keyed_texts(docs, text, key)
-    known, reps = refine(segments(keyed, length, k, least).withColumn("only", F.lit(0)))
+    known, reps = (x.withColumn("only", F.lit(0)) for x in refine(segments(keyed, length, k, least)))
     reps = common.cut(reps)
     found, small = [known], reps.where(F.col("k") <= group)
     for windows in (RANGE, 1):
@@ -420,11 +424,11 @@ def repeated(docs: DataFrame, length: int = LENGTH, k: int = KMER, group: int =
         known, reps = refine(shorter(with_bytes(keyed, large, few=True), windows, sorted({length, least}), k))
         found.append(known)
         reps = common.cut(reps)
-        small = small.union(reps.where(F.col("k") <= group))
+        small = small.unionByName(reps.where(F.col("k") <= group))
     found.append(compare(with_bytes(keyed, small), length, least, k, block))
     every = found[0]
     for more in found[1:]:
-        every = every.union(more)
+        every = every.unionByName(more)
     whole = (F.col("size") >= length) & F.col("only").isin(0, length)
     return listed(every.withColumn("only", F.when(whole, length).otherwise(least)), "lo", "size", "only")
 
